@@ -157,9 +157,9 @@ def token_estimate(value: Column | str) -> Column:
 
 
 def citations(value: Column | str) -> Column:
-    # Numbers of more than nine digits can match no hit and would overflow a 32-bit cast.
+    # A number too long for 64 bits can name no hit.
     found = F.regexp_extract_all(as_col(value), F.lit(r"\[([0-9]+)\]"), F.lit(1))
-    return F.transform(found, lambda n: F.coalesce(F.try_to_number(n, F.lit("9" * 18)).cast("bigint"), F.lit(2**62)))
+    return F.transform(found, lambda n: F.coalesce(n.try_cast("bigint"), F.lit(2**62)))
 
 
 def query_route(value: Column | str) -> Column:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .ranking import first_per_key
+from .ranking import beside
 
 IDENTITY = ["source_name", "content_hash", "project_name"]
 
@@ -21,16 +21,24 @@ def _null_safe(columns: list[str], left: DataFrame, right: DataFrame) -> Column:
     return test
 
 
-def new_documents(incoming: DataFrame, stored: DataFrame, order: list[Column], identity: list[str] | None = None) -> DataFrame:
-    """Incoming documents not stored yet, one per identity.
+def distinct_documents(df: DataFrame, identity: list[str] | None = None, key: str = "document_id") -> DataFrame:
+    """The document with the smallest key of each identity.
 
-    Copies collapse by hash aggregation first, so a group holding a third of all rows is
-    reduced on the map side and the anti join sees each identity once.
+    Only identities and keys are aggregated, so a group of copies holding a third of all rows
+    is one row after the map side; texts are then kept by their unique key.
     """
     identity = identity or IDENTITY
-    fresh = first_per_key(incoming, identity, order).select(*incoming.columns)
+    first = df.groupBy(*identity).agg(F.min(key).alias(key)).select(key)
+    return df.join(first, key, "left_semi")
+
+
+def new_documents(incoming: DataFrame, stored: DataFrame, identity: list[str] | None = None, key: str = "document_id") -> DataFrame:
+    """Incoming documents not stored yet, one per identity."""
+    identity = identity or IDENTITY
+    first = incoming.groupBy(*identity).agg(F.min(key).alias(key))
     known = stored.select(*identity).distinct()
-    return fresh.join(known, _null_safe(identity, fresh, known), "left_anti")
+    fresh = first.join(known, _null_safe(identity, first, known), "left_anti").select(key)
+    return incoming.join(fresh, key, "left_semi")
 
 
 def replace_sources(stored: DataFrame, incoming: DataFrame, scope: list[str] | None = None) -> DataFrame:
@@ -55,8 +63,8 @@ def chunk_counts(documents: DataFrame, chunks: DataFrame) -> DataFrame:
 
 
 def statistics(documents: DataFrame, chunks: DataFrame) -> DataFrame:
-    return documents.agg(F.count(F.lit(1)).alias("total_documents")).join(
-        F.broadcast(chunks.agg(F.count(F.lit(1)).alias("total_chunks")))
+    return beside(
+        documents.agg(F.count(F.lit(1)).alias("total_documents")), chunks.agg(F.count(F.lit(1)).alias("total_chunks"))
     )
 
 

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.text import as_col, keyword_set, let, rounded, sentences_for_scoring
+from .ranking import beside
 
 
 def _prefixes(context: Column) -> Column:
@@ -130,11 +132,9 @@ def order_statistics(df: DataFrame, value: str, ranks: dict[str, Column]) -> Dat
     cuts = counted.agg(
         F.sum("c").alias("n"), F.percentile_approx("v", [i / 512 for i in range(1, 512)], 4096).alias("cuts")
     )
-    ranged = counted.join(F.broadcast(cuts)).withColumn(
+    ranged = beside(counted, cuts).withColumn(
         "range", F.size(F.filter("cuts", lambda cut: cut <= F.col("v")))
     ).select("v", "c", "n", "range")
-    from pyspark.sql.window import Window
-
     # At most 512 rows.
     totals = ranged.groupBy("range").agg(F.sum("c").alias("size"), F.first("n").alias("n"))
     placed = totals.withColumn("before", F.sum("size").over(Window.orderBy("range")) - F.col("size"))
@@ -170,7 +170,7 @@ def batch_report(scored: DataFrame, latency: str = "latency_ms") -> DataFrame:
     latencies = order_statistics(scored, latency, ranks).select(
         *[F.bround(name, 1).alias(name) for name in ranks]
     )
-    return means.join(F.broadcast(latencies))
+    return beside(means, latencies)
 
 
 def source_checks(df: DataFrame, expected: str = "expected_sources", retrieved: str = "retrieved_sources") -> DataFrame:
@@ -201,7 +201,7 @@ def golden_report(rows: DataFrame, latency: str = "latency_ms") -> DataFrame:
     latencies = order_statistics(rows, latency, ranks).select(
         F.bround((F.col("low") + F.col("high")) / 2, 1).alias("p50_latency_ms"), F.bround("p95", 1).alias("p95_latency_ms")
     )
-    return checks.join(F.broadcast(latencies))
+    return beside(checks, latencies)
 
 
 # Thresholds of a release.

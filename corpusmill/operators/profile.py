@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import strip, valid_calendar_date
-from .ranking import top_k
+from .ranking import beside, top_k
 
 # Value shapes, domain labels, null spellings.
 DATE = r"^\d{4}([-/.])\d{2}\1\d{2}$"
@@ -105,7 +105,7 @@ def mismatched_rows(records: DataFrame, keys: Column, order: list[Column]) -> Da
     """(row_schema_mismatch_count): rows whose key set differs from the first row's."""
     own = F.array_sort(keys)
     first = records.agg(F.min_by(own, F.struct(*order)).alias("expected"))
-    return records.select(own.alias("own")).join(F.broadcast(first)).agg(
+    return beside(records.select(own.alias("own")), first).agg(
         F.count_if(F.col("own") != F.col("expected")).alias("row_schema_mismatch_count")
     )
 
@@ -126,10 +126,9 @@ def evaluate_dataset(df: DataFrame, order: list[str], primary_key: str | None =
                      mismatches: DataFrame | None = None, columns: list[str] | None = None) -> DataFrame:
     """One row: score, grade, totals, duplicate keys and rows of another shape."""
     one = dataset_summary(column_profile(df, order, columns))
-    # Each joined side is a single aggregate row.
     for side, name in ((key_duplicates(df, primary_key) if primary_key in df.columns else None, "pk_duplicate_count"),
                        (mismatches, "row_schema_mismatch_count")):
-        one = one.withColumn(name, F.lit(0)) if side is None else one.join(F.broadcast(side))
+        one = one.withColumn(name, F.lit(0)) if side is None else beside(one, side)
     raw = (
         F.col("completeness") - F.col("validity_penalty") - F.least(F.lit(30), F.col("pk_duplicate_count") * 5)
         - F.least(F.lit(20), F.col("row_schema_mismatch_count") * 2)

@@ -9,6 +9,12 @@ from pyspark.sql.window import Window
 FAN = 256
 
 
+def beside(df: DataFrame, one: DataFrame) -> DataFrame:
+    """Columns of a one-row aggregate next to every row, as a scalar subquery."""
+    packed = one.select(F.struct(*one.columns)).scalar()
+    return df.withColumn("__one", packed).select(*df.columns, "__one.*")
+
+
 def top_k(df: DataFrame, keys: list[str], order: list[Column], k: int, rank: str = "rank") -> DataFrame:
     """First ``k`` rows of each key with their rank.
 

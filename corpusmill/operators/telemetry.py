@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ranking import beside
+
 
 def spans(names: list[str], durations: list[Column], metadata: list[Column] | None = None) -> Column:
     """ARRAY of STRUCT(name, duration_ms, metadata) for one trace."""
@@ -36,7 +38,7 @@ def feedback_summary(feedback: DataFrame) -> DataFrame:
 
 def metrics_summary(traces: DataFrame, feedback: DataFrame) -> DataFrame:
     """Both summaries in one row."""
-    return trace_summary(traces).join(F.broadcast(feedback_summary(feedback)))
+    return beside(trace_summary(traces), feedback_summary(feedback))
 
 
 def recent(df: DataFrame, limit: int, key: str, action: str | None = None) -> DataFrame:
