@@ -67,9 +67,26 @@ def strip(value: Column | str) -> Column:
     return F.btrim(as_col(value), F.lit(WHITESPACE))
 
 
-def rounded(value: Column, digits: int) -> Column:
-    """Half-even rounding of a double, as the reference results use."""
-    return F.bround(value.cast("double"), digits)
+def rounded(value: Column | str, digits: int) -> Column:
+    """The double nearest to the decimal rounding of the exact binary value, ties to even.
+
+    Built-in rounding works on the shortest decimal form, which turns values just beside a
+    tie into ties. Here the distance to the tie is computed without error: the value is split
+    into two halves whose products with the small scale are exact.
+    """
+    if isinstance(value, str):
+        return _rounded(F.col(value).cast("double"), digits)
+    return let(value.cast("double"), lambda v: _rounded(v, digits))
+
+
+def _rounded(v: Column, digits: int) -> Column:
+    scale = float(10**digits)
+    below = F.floor(v * scale)
+    high = v * 134217729.0 - (v * 134217729.0 - v)
+    beyond = (high * (2 * scale) - (below * 2 + 1).cast("double")) + (v - high) * (2 * scale)
+    up = (beyond > 0) | ((beyond == 0) & (F.pmod(below, F.lit(2)) == 1))
+    exact = (below + F.when(up, 1).otherwise(0)).cast("double") / scale
+    return F.when(F.abs(v) < 2.0**31, exact).otherwise(F.bround(v, digits))
 
 
 def clean_whitespace(value: Column | str) -> Column:

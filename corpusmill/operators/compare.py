@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import as_col
+from ..functions.text import as_col, rounded
 
 
 def rule_changes(original: Column | str, cleaned: Column | str, comparable: Column) -> Column:
@@ -36,7 +36,7 @@ def compare_documents(original: DataFrame, cleaned: DataFrame, key: str = "docum
     delta = lambda n: F.when(F.col("comparable"), F.col(f"cleaned_{n}") - F.col(f"original_{n}"))
     return work.select(
         key, "comparable", F.when(F.col("comparable"), "measured").otherwise("unmeasured").alias("status"),
-        F.bround(delta("score").cast("double"), 1).alias("score_delta"), delta("char_count").alias("extracted_character_delta"),
+        rounded(delta("score").cast("double"), 1).alias("score_delta"), delta("char_count").alias("extracted_character_delta"),
         F.when(F.col("comparable"), F.size("cleaned_issues") - F.size("original_issues")).alias("issue_count_delta"),
         "changes.*",
     )

@@ -44,7 +44,7 @@ def faithfulness(answer: Column | str, contexts: Column | str) -> Column:
 
             def share(sentences: Column) -> Column:
                 return F.when(F.size(sentences) == 0, 1.0).otherwise(
-                    F.bround(F.size(F.filter(sentences, grounded)) / F.size(sentences), 3)
+                    rounded(F.size(F.filter(sentences, grounded)) / F.size(sentences), 3)
                 )
 
             return let(sentences_for_scoring(answer), share)
@@ -68,7 +68,7 @@ def answer_relevance(query: Column | str, answer: Column | str) -> Column:
             value = shared / F.size(q) * 0.7 + shared / F.size(F.array_union(q, a)) * 2.0 * 0.3
             return (
                 F.when(F.size(q) == 0, 0.5).when(F.size(a) == 0, 0.0)
-                .otherwise(F.least(F.lit(1.0), F.bround(value, 3)))
+                .otherwise(F.least(F.lit(1.0), rounded(value, 3)))
             )
 
         return let(keyword_set(answer), score)
@@ -86,7 +86,7 @@ def context_precision(query: Column | str, contexts: Column | str) -> Column:
             return known / F.size(words) >= 0.2
 
         return F.when(F.size(words) == 0, 0.5).otherwise(
-            F.bround(F.size(F.filter(contexts, relevant)) / F.size(contexts), 3)
+            rounded(F.size(F.filter(contexts, relevant)) / F.size(contexts), 3)
         )
 
     missing = (F.coalesce(query, F.lit("")) == "") | contexts.isNull() | (F.size(contexts) == 0)
@@ -99,7 +99,7 @@ def context_recall(truth: Column | str, contexts: Column | str) -> Column:
     def by_context(context: Column) -> Column:
         def score(words: Column) -> Column:
             known = F.size(F.filter(words, lambda w: F.contains(context, w)))
-            return F.when(F.size(words) == 0, 1.0).otherwise(F.bround(known / F.size(words), 3))
+            return F.when(F.size(words) == 0, 1.0).otherwise(rounded(known / F.size(words), 3))
 
         return let(keyword_set(truth), score)
 
@@ -163,12 +163,12 @@ def batch_report(scored: DataFrame, latency: str = "latency_ms") -> DataFrame:
     }
     means = scored.agg(
         F.count(F.lit(1)).alias("sample_count"),
-        *[F.bround(F.avg(c), 3).alias(f"mean_{c}") for c in ("faithfulness", "answer_relevance", "context_precision")],
-        F.bround(F.avg("overall_score"), 1).alias("mean_overall_score"),
-        F.bround(F.count_if(F.col("hallucination_risk") == "high") / F.count(F.lit(1)), 3).alias("high_hallucination_rate"),
+        *[rounded(F.avg(c), 3).alias(f"mean_{c}") for c in ("faithfulness", "answer_relevance", "context_precision")],
+        rounded(F.avg("overall_score"), 1).alias("mean_overall_score"),
+        rounded(F.count_if(F.col("hallucination_risk") == "high") / F.count(F.lit(1)), 3).alias("high_hallucination_rate"),
     )
     latencies = order_statistics(scored, latency, ranks).select(
-        *[F.bround(name, 1).alias(name) for name in ranks]
+        *[rounded(name, 1).alias(name) for name in ranks]
     )
     return beside(means, latencies)
 
@@ -193,13 +193,13 @@ def golden_report(rows: DataFrame, latency: str = "latency_ms") -> DataFrame:
     ranks = {"low": F.floor((n - 1) / 2), "high": F.floor(n / 2), "p95": F.least(n - 1, F.ceil(n * 0.95) - 1)}
     checks = rows.agg(
         F.count(F.lit(1)).alias("sample_count"),
-        F.bround(F.avg(F.col("source_hit").cast("double")), 3).alias("source_hit_rate"),
-        F.bround(F.avg("source_recall"), 3).alias("mean_source_recall"),
-        F.bround(F.avg("source_precision"), 3).alias("mean_source_precision"),
-        F.bround(F.avg((F.col("expected_action") == F.col("action")).cast("double")), 3).alias("guardrail_pass_rate"),
+        rounded(F.avg(F.col("source_hit").cast("double")), 3).alias("source_hit_rate"),
+        rounded(F.avg("source_recall"), 3).alias("mean_source_recall"),
+        rounded(F.avg("source_precision"), 3).alias("mean_source_precision"),
+        rounded(F.avg((F.col("expected_action") == F.col("action")).cast("double")), 3).alias("guardrail_pass_rate"),
     )
     latencies = order_statistics(rows, latency, ranks).select(
-        F.bround((F.col("low") + F.col("high")) / 2, 1).alias("p50_latency_ms"), F.bround("p95", 1).alias("p95_latency_ms")
+        rounded((F.col("low") + F.col("high")) / 2, 1).alias("p50_latency_ms"), rounded("p95", 1).alias("p95_latency_ms")
     )
     return beside(checks, latencies)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import strip, valid_calendar_date
+from ..functions.text import rounded, strip, valid_calendar_date
 from .ranking import beside, top_k
 
 # Value shapes, domain labels, null spellings.
@@ -86,7 +86,7 @@ def column_profile(df: DataFrame, order: list[str], columns: list[str] | None =
         F.sum("invalid").alias("invalid_format_count"),
         F.first("domain").alias("domain"),
     ).select(
-        "column", "null_count", F.bround(F.col("null_count") / F.col("total"), 4).alias("null_ratio"), "unique_count",
+        "column", "null_count", rounded(F.col("null_count") / F.col("total"), 4).alias("null_ratio"), "unique_count",
         F.coalesce(*[F.when(F.col("domain") == k, v) for k, v in DOMAINS.items()], F.lit(OTHER_DOMAIN)).alias("detected_domain"),
         "invalid_format_count", "total",
     )
@@ -116,7 +116,7 @@ def dataset_summary(profile: DataFrame) -> DataFrame:
     return profile.agg(
         F.max("total").alias("total_rows"),
         F.count(F.lit(1)).alias("total_columns"),
-        F.bround(nulls / cell_count, 4).alias("overall_null_ratio"),
+        rounded(nulls / cell_count, 4).alias("overall_null_ratio"),
         F.greatest(F.lit(0), F.lit(100) - F.floor(nulls / cell_count * 200)).alias("completeness"),
         F.sum(F.least(F.lit(20), F.col("invalid_format_count") * 2)).alias("validity_penalty"),
     )

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.text import rounded
+
 FAN = 256
 
 
@@ -53,26 +57,30 @@ def fuse_ranks(lists: list[tuple[DataFrame, float]], query: str, item: str, k: i
     for number, (ranked, weight) in enumerate(lists):
         if not 0 <= weight < float("inf"):
             raise ValueError("fusion weights must be finite and non-negative")
-        parts.append(
-            ranked.groupBy(query, item)
-            .agg(F.min("rank").alias("rank"))
-            .select(query, item, (F.lit(float(weight)) / (F.lit(rrf_k) + F.col("rank"))).alias("part"))
-        )
-    merged = parts[0]
-    for part in parts[1:]:
-        merged = merged.unionByName(part)
-    fused = merged.groupBy(query, item).agg(F.sum("part").alias("raw"))
+        parts.append(ranked.select(query, item, F.lit(number).alias("list"), "rank", F.lit(float(weight)).alias("weight")))
+    fused = fused_scores(reduce(DataFrame.unionByName, parts), query, item, len(lists), rrf_k)
     best = top_k(fused, [query], [F.desc("raw"), F.asc(item)], k)
     return with_fusion_scores(best, query, digits)
 
 
+def fused_scores(entries: DataFrame, query: str, item: str, lists: int, rrf_k: int = 60) -> DataFrame:
+    """(query, item, raw) from (query, item, list, rank, weight).
+
+    The parts are added in list order, so the sum does not depend on how rows were shuffled.
+    """
+    best = [F.max(F.when(F.col("list") == n, F.col("weight") / (F.lit(rrf_k) + F.col("rank")))) for n in range(lists)]
+    columns = entries.groupBy(query, item).agg(*[b.alias(f"__p{n}") for n, b in enumerate(best)])
+    total = reduce(lambda a, b: a + b, [F.coalesce(f"__p{n}", F.lit(0.0)) for n in range(lists)])
+    return columns.select(query, item, total.alias("raw"))
+
+
 def with_fusion_scores(best: DataFrame, query: str, digits: int = 6) -> DataFrame:
     """``rrf_score`` and the 0..1 ``combined_score`` relative to the query's best hit."""
     top = F.max("raw").over(Window.partitionBy(query))
     return best.select(
         "*",
-        F.bround("raw", digits).alias("rrf_score"),
-        F.when(top > 0, F.bround(F.col("raw") / top, 4)).otherwise(0.0).alias("combined_score"),
+        rounded("raw", digits).alias("rrf_score"),
+        F.when(top > 0, rounded(F.col("raw") / top, 4)).otherwise(0.0).alias("combined_score"),
     ).drop("raw")
 
 

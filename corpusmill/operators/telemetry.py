@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import rounded
 from .ranking import beside
 
 
@@ -12,7 +13,7 @@ def spans(names: list[str], durations: list[Column], metadata: list[Column] | No
     """ARRAY of STRUCT(name, duration_ms, metadata) for one trace."""
     metadata = metadata or [F.create_map().cast("map<string,string>")] * len(names)
     return F.array(*[
-        F.struct(F.lit(n).alias("name"), F.bround(d.cast("double"), 2).alias("duration_ms"), m.alias("metadata"))
+        F.struct(F.lit(n).alias("name"), rounded(d.cast("double"), 2).alias("duration_ms"), m.alias("metadata"))
         for n, d, m in zip(names, durations, metadata)
     ])
 
@@ -21,9 +22,9 @@ def trace_summary(traces: DataFrame) -> DataFrame:
     n = F.count(F.lit(1))
     blocked = F.count_if(F.col("guardrail_action") == "block")
     return traces.agg(
-        n.alias("total_queries"), F.bround(F.coalesce(F.avg("total_latency_ms"), F.lit(0.0)), 1).alias("avg_latency_ms"),
+        n.alias("total_queries"), rounded(F.coalesce(F.avg("total_latency_ms"), F.lit(0.0)), 1).alias("avg_latency_ms"),
         F.coalesce(F.sum("total_tokens"), F.lit(0)).alias("total_tokens"), F.lit(0.0).alias("estimated_cost_usd"),
-        F.bround(blocked / F.greatest(F.lit(1), n), 3).alias("guardrail_block_rate"),
+        rounded(blocked / F.greatest(F.lit(1), n), 3).alias("guardrail_block_rate"),
         F.count_if(F.col("hallucination_risk") == "high").alias("high_hallucination_count"),
     )
 
@@ -31,7 +32,7 @@ def trace_summary(traces: DataFrame) -> DataFrame:
 def feedback_summary(feedback: DataFrame) -> DataFrame:
     return feedback.agg(
         F.count(F.lit(1)).alias("feedback_count"),
-        F.bround(F.coalesce(F.avg("rating"), F.lit(0.0)), 2).alias("avg_rating"),
+        rounded(F.coalesce(F.avg("rating"), F.lit(0.0)), 2).alias("avg_rating"),
         F.count_if(F.col("thumbs") > 0).alias("thumbs_up"), F.count_if(F.col("thumbs") < 0).alias("thumbs_down"),
     )
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from corpusmill.functions.text import rounded
 from corpusmill.functions import chunking, context, pii, terms, text, vectors
 from corpusmill.operators import catalog, compare, quality
 from corpusmill.plans import ingest
@@ -156,7 +157,7 @@ select source, count(*) as docs, round_even(avg(score), 4) as mean_score, count(
 def quality_by_source(spark, folder):
     scored = quality.text_quality(documents(spark, folder))
     return scored.groupBy(F.col("source_name").alias("source")).agg(
-        F.count(F.lit(1)).alias("docs"), F.bround(F.avg("score"), 4).alias("mean_score"), F.count_if(F.col("score") < 70).alias("failed"))
+        F.count(F.lit(1)).alias("docs"), rounded(F.avg("score"), 4).alias("mean_score"), F.count_if(F.col("score") < 70).alias("failed"))
 
 
 # \b stands in for the digit and address look-arounds, which this SQL has not.
@@ -204,12 +205,12 @@ with recursive {__import__('queryset.common', fromlist=['x']).sql_hash_vectors('
 select id as doc_id, slot::bigint as slot, round_even(x, 6) as weight from v""")
 def hash_embedding(spark, folder):
     embedded = documents(spark, folder).select("document_id", F.posexplode(vectors.hash_embedding("text", 64)).alias("slot", "w"))
-    return embedded.where("w > 0").select(F.col("document_id").alias("doc_id"), "slot", F.bround("w", 6).alias("weight"))
+    return embedded.where("w > 0").select(F.col("document_id").alias("doc_id"), "slot", rounded("w", 6).alias("weight"))
 
 
-@R.add("MTH-01_half_even", "select l_orderkey, l_linenumber, round_even(l_extendedprice * l_discount / 8, 2) as v from lineitem")
+@R.add("MTH-01_half_even", "select l_orderkey, l_linenumber, round_even(l_quantity / 8, 2) as v from lineitem")
 def half_even(spark, folder):
-    return table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", text.rounded(F.col("l_extendedprice") * F.col("l_discount") / 8, 2).alias("v"))
+    return table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", text.rounded(F.col("l_quantity") / 8, 2).alias("v"))
 
 
 @R.add("JSN-01_json_path", "select event_id, props->>'$.k' as k, (props->>'$.missing') is null as missing from events")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from corpusmill.functions.text import rounded
 from corpusmill.operators import filters, profile
 from corpusmill.plans import aggregate as A
 from corpusmill.sources.tables import table
@@ -25,7 +26,7 @@ def lines(spark, folder):
 def run(df, plan):
     checked = A.validate_plan(plan, df.columns, [plan.column] if plan.column else [], None)
     result = A.run_plan(df, checked)
-    return result if plan.metric == "count" else result.withColumn("value", F.bround("value", 2))
+    return result if plan.metric == "count" else result.withColumn("value", rounded("value", 2))
 
 
 def aggregate_query(name, metric, column=None, groups=(), flt=(), limit=100, order="desc"):
@@ -39,7 +40,7 @@ def aggregate_query(name, metric, column=None, groups=(), flt=(), limit=100, ord
     if groups:
         raw = "count(*)" if metric == "count" else f"{metric}({sql_number(f'{column}::varchar')})"
         sql += f" group by {picked} order by {raw} {order} nulls last, {picked}"
-    sql = f"select {', '.join(f'{g}::varchar as {g}' for g in groups) + ', ' if groups else ''}value from ({sql} limit {limit})"
+    sql = f"select {picked + ', ' if groups else ''}value from ({sql} limit {limit})"
     R.add(name, sql)(lambda spark, folder: run(lines(spark, folder), plan))
 
 
@@ -91,13 +92,13 @@ def planned_question(spark, folder):
     planner = lambda _q, _c, _n: {"metric": "avg", "column": "l_quantity", "group_by": ["l_returnflag"],
                                   "filters": [], "limit": 20, "order": "desc"}
     answer = A.answer_question(lines(spark, folder), question, planner)
-    return answer.results.withColumn("value", F.bround("value", 2))
+    return answer.results.withColumn("value", rounded("value", 2))
 
 
 @R.add("AGG-09_rule_planner", "select round_even(sum(l_extendedprice), 2) as value from lineitem")
 def rule_planner(spark, folder):
     answer = A.answer_question(lines(spark, folder), "sum of l_extendedprice")
-    return answer.results.withColumn("value", F.bround("value", 2))
+    return answer.results.withColumn("value", rounded("value", 2))
 
 
 @R.add("AGG-11_route_intent", r"""
