@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import as_col, string_array, strip, tokens
+from .text import as_col, has_non_ascii, string_array, strip, tokens
 
 # Variant -> canonical term.
 TERMS = {
@@ -30,7 +30,7 @@ def _whole_word(term: str) -> str:
 
 
 def has_terms(value: Column | str) -> Column:
-    return as_col(value).rlike("|".join(TERMS))
+    return has_non_ascii(value) & as_col(value).rlike("|".join(TERMS))
 
 
 def replace_terms(value: Column | str) -> Column:

@@ -19,6 +19,7 @@ WHITESPACE = (
 SPACE_CLASS = r"\s\x1c-\x1f\x85\p{Z}"
 LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\x{2028}\x{2029}]"
 # Characters outside this closed set may change under NFKC; text inside it never does.
+NOT_PLAIN_LATIN = r"[^\x00-\x7FÀ-ÖØ-öø-ÿ]"
 NFKC_UNSTABLE = r"[^\x00-\x7FÀ-ÖØ-öø-ÿ\x{0400}-\x{045F}가-힣\x{4E00}-\x{9FA5}]"
 
 # Keyword token pattern and stop words.
@@ -57,10 +58,18 @@ def _nfkc(values: pd.Series) -> pd.Series:
     return values.map(lambda v: unicodedata.normalize("NFKC", v), na_action="ignore")
 
 
+def has_non_ascii(value: Column | str) -> Column:
+    """More bytes than characters; no pattern is run."""
+    value = as_col(value)
+    return F.octet_length(value) != F.length(value)
+
+
 def nfkc(value: Column | str) -> Column:
     """NFKC; only text holding a character that can change goes through Python."""
     value = as_col(value)
-    return F.coalesce(_nfkc(F.when(value.rlike(NFKC_UNSTABLE), value)), value)
+    # From the cheapest test to the dearest: pure ASCII, plain Latin letters, the whole set.
+    unstable = has_non_ascii(value) & value.rlike(NOT_PLAIN_LATIN) & value.rlike(NFKC_UNSTABLE)
+    return F.coalesce(_nfkc(F.when(unstable, value)), value)
 
 
 def strip(value: Column | str) -> Column:
