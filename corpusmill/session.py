@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -63,6 +64,12 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def scratch_folder(spark: SparkSession) -> str:
+    """A new folder every executor can reach: below the cluster's checkpoint folder if there is one."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    return f"{shared}/corpusmill-{uuid.uuid4().hex}" if shared else tempfile.mkdtemp(prefix="corpusmill-")
+
+
 def fan_out(df: DataFrame, *keys: str) -> DataFrame:
     """Spread a scan that has fewer partitions than cores before heavy per-row work.
 

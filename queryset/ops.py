@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import functions as F
 
 from corpusmill.config import Settings
@@ -11,7 +9,7 @@ from corpusmill.functions.pii import mask_pii
 from corpusmill.functions.text import rounded
 from corpusmill.operators import catalog, filters, profile, ranking, samples, telemetry
 from corpusmill.plans import answer
-from corpusmill.session import fan_out
+from corpusmill.session import fan_out, scratch_folder
 from corpusmill.sources import tables as S
 from corpusmill.streaming import cache, counters, guarded
 
@@ -210,7 +208,7 @@ def _stream(spark, folder, name, schema=None):
 def _drain(stream, mode):
     """Run a bounded stream to its end into files and read them back."""
     spark = stream.sparkSession
-    place = tempfile.mkdtemp(prefix="corpusmill-stream-")
+    place = scratch_folder(spark)
 
     def write(df, batch_id):
         df.write.mode("overwrite").parquet(f"{place}/out/batch={batch_id if mode == 'append' else 0}")
@@ -257,7 +255,7 @@ def cache_stream(spark, folder):
 
 @R.add("STR-06_audit_stream", "select event_id, 'omitted;chars:' || user_id as query from events")
 def audit_stream(spark, folder):
-    place = tempfile.mkdtemp(prefix="corpusmill-audit-")
+    place = scratch_folder(spark)
     entries = _stream(spark, folder, "events").select("event_id", F.concat(F.lit("omitted;chars:"), F.col("user_id").cast("string")).alias("query"))
     counters.audit_sink(entries, f"{place}/out", f"{place}/ckpt", once=True).awaitTermination()
     return spark.read.parquet(f"{place}/out").select("event_id", "query")
