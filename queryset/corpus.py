@@ -164,20 +164,33 @@ def quality_by_source(spark, folder):
 EMAIL_SQL = r"len(regexp_extract_all(text, '[a-zA-Z0-9_.+-]+@[a-zA-Z0-9-]+\.[a-zA-Z0-9-.]+'))"
 CARD_SQL = r"len(regexp_extract_all(text, '\b\d{4}[- ]?\d{4}[- ]?\d{4}[- ]?\d{4}\b'))"
 
+# Land lines and account numbers, read after cards are taken out; a digit-free edge is consumed.
+NO_CARD = r"regexp_replace(text, '\b\d{4}[- ]?\d{4}[- ]?\d{4}[- ]?\d{4}\b', 'card', 'g')"
+LAND_LINE = r"(^|[^0-9])(0[2-6][1-5]?)[- .]?(\d{3,4})[- .]?(\d{4})($|[^0-9])"
+ACCOUNT = r"(^|[^0-9])(\d{3,6})[- ]\d{2,6}[- ]\d{1,4}(\d{2})($|[^0-9])"
+PHONE_SQL = f"len(regexp_extract_all({NO_CARD}, '{LAND_LINE}'))"
+ACCOUNT_SQL = f"len(regexp_extract_all({NO_CARD}, '{ACCOUNT}'))"
+MILD_SQL, STRONG_SQL = f"({EMAIL_SQL} + {PHONE_SQL})", f"({CARD_SQL} + {ACCOUNT_SQL})"
+
 
 @R.add("TXT-04_pii_counts", f"""
-select doc_id, {EMAIL_SQL} as emails, {CARD_SQL} as cards from documents where {EMAIL_SQL} + {CARD_SQL} > 0""")
+select doc_id, {EMAIL_SQL} as emails, {CARD_SQL} as cards, {PHONE_SQL} as land_lines, {ACCOUNT_SQL} as accounts from documents
+where {MILD_SQL} + {STRONG_SQL} > 0""")
 def pii_counts(spark, folder):
     scan = documents(spark, folder).withColumn("s", pii.scan_pii("text"))
     spans = scan.select("document_id", F.explode(pii.pii_spans(F.col("s"))).alias("p"))
     return spans.groupBy(F.col("document_id").alias("doc_id")).agg(
-        F.count_if(F.col("p.category") == "이메일주소").alias("emails"), F.count_if(F.col("p.category") == "신용카드번호").alias("cards"))
+        F.count_if(F.col("p.category") == "이메일주소").alias("emails"), F.count_if(F.col("p.category") == "신용카드번호").alias("cards"),
+        F.count_if(F.col("p.category") == "일반전화번호").alias("land_lines"), F.count_if(F.col("p.category") == "계좌번호").alias("accounts"))
 
 
 MASK_SQL = (
     r"regexp_replace(regexp_replace(text, '([a-zA-Z0-9_.+-]{2})[a-zA-Z0-9_.+-]+@([a-zA-Z0-9-]+\.[a-zA-Z0-9-.]+)', '\1***@\2', 'g'), "
     r"'\b(\d{4})[- ]?\d{4}[- ]?\d{4}[- ]?(\d{4})\b', '\1-****-****-\2', 'g')"
 )
+MASK_SQL = (
+    f"regexp_replace(regexp_replace({MASK_SQL}, '{LAND_LINE}', " + r"'\1\2-****-\4\5', 'g'), '" + ACCOUNT + r"', '\1\2-****-**\3\4', 'g')"
+)
 
 
 @R.add("TXT-04_masked_text", f"select doc_id, sha256({MASK_SQL}) as masked_hash from documents")
@@ -186,7 +199,7 @@ def masked_text(spark, folder):
 
 
 @R.add("QLT-02_enterprise_quality", rf"""
-with {MEASURES.replace(DOCS, f"select doc_id, source, {MASK_SQL} as norm, {EMAIL_SQL} + {CARD_SQL} as found from documents")
+with {MEASURES.replace(DOCS, f"select doc_id, source, {MASK_SQL} as norm, {MILD_SQL} + {STRONG_SQL} as found from documents")
       .replace("m as (select doc_id, source, norm,", "m as (select doc_id, found, norm,")
       .replace("string_split(norm, chr(10)) end as ls", "case when norm[-1] = chr(10) then string_split(norm, chr(10))[:-2] else string_split(norm, chr(10)) end end as ls")},
 p as (select doc_id, found, norm, 20 - case when char_count < 100 then 10 else 0 end - case when blank_ratio > 0.4 then 5 else 0 end as completeness,

@@ -14,6 +14,7 @@ from corpusmill.sources import tables as S
 from corpusmill.streaming import cache, counters, guarded
 
 from .common import Registry
+from .corpus import MASK_SQL
 
 R = Registry()
 QUERIES, ORACLES = R.queries, R.oracles
@@ -169,9 +170,8 @@ def source_metadata(spark, folder):
     return df.select("event_id", F.size("m").alias("keys"), F.col("m")["source"].alias("source"))
 
 
-@R.add("FLT-18_app_response", r"""
-select doc_id, length(substr(regexp_replace(regexp_replace(text, '([a-zA-Z0-9_.+-]{2})[a-zA-Z0-9_.+-]+@([a-zA-Z0-9-]+\.[a-zA-Z0-9-.]+)', '\1***@\2', 'g'), '\b(\d{4})[- ]?\d{4}[- ]?\d{4}[- ]?(\d{4})\b', '\1-****-****-\2', 'g'), 1, 1200)) as text_length,
-  substr(source, 1, 256) as source_name, least(1.0, n_chars / 1000) as score from documents""")
+@R.add("FLT-18_app_response", f"""
+select doc_id, length(substr({MASK_SQL}, 1, 1200)) as text_length, substr(source, 1, 256) as source_name, least(1.0, n_chars / 1000) as score from documents""")
 def app_response(spark, folder):
     docs = fan_out(S.table(spark, folder, "documents"), "doc_id").select("doc_id", "text", F.col("source").alias("source_name"), (F.col("n_chars") / 1000).alias("score"))
     return filters.app_response(docs, mask_pii).select("doc_id", F.length("text").alias("text_length"), "source_name", "score")

@@ -10,7 +10,7 @@ from corpusmill.functions.text import tokens
 from corpusmill.session import fan_out
 
 from .common import Registry, sql_keywords, sql_tokens
-from .corpus import CARD_SQL, EMAIL_SQL
+from .corpus import MILD_SQL, STRONG_SQL
 from .retrieval import TEXT, text_hits
 
 R = Registry()
@@ -36,7 +36,7 @@ def guardrail_sql(source: str) -> str:
     block = " + ".join(name for name, (_p, _s, b) in RULES.items() if b)
     count = " + ".join(RULES)
     return f"""
-with b as ({source}), f as (select id, length(text) > 16384 as big, regexp_matches(text, '[\\x00\\x{{200B}}-\\x{{200D}}\\x{{FEFF}}]')::int as hidden, {EMAIL_SQL} as em, {CARD_SQL} as cd, {flags} from b)
+with b as ({source}), f as (select id, length(text) > 16384 as big, regexp_matches(text, '[\\x00\\x{{200B}}-\\x{{200D}}\\x{{FEFF}}]')::int as hidden, {MILD_SQL} as em, {STRONG_SQL} as cd, {flags} from b)
 select id, case when {block} > 0 or big then 'block' when em + cd > 0 then 'mask' when {count} + hidden > 0 then 'flag' else 'allow' end as action,
   least(1.0, round_even(0.3 * big::int + 0.15 * hidden + 0.15 * em + 0.3 * cd + {risk}, 2))::double as risk_score, em + cd as pii_count,
   big::int + hidden + em + cd + {count} as violation_count from f"""
@@ -76,7 +76,7 @@ OUTPUT = rf"""
 with {EXCHANGE}, o as (select *, array_to_string(contexts, ' ') as ctx, list_filter(list_transform(string_split_regex(answer, '[.?!]\s+'), lambda s: trim(s, ' ' || chr(10) || chr(9))), lambda s: length(s) > 10) as ss from x),
 u as (select conv_id, turn, answer, len(ss) as n, list_filter(list_transform(ss, lambda s: regexp_extract_all(s, '[가-힣a-zA-Z0-9]{{3,}}')), lambda w: len(w) > 0) as ws, ctx from o),
 h as (select conv_id, turn, answer as text, case when n = 0 then 0.0 else round_even(len(list_filter(ws, lambda w: len(list_filter(w, lambda t: contains(ctx, t))) / len(w) < 0.25)) / n, 2) end as hs from u),
-v as (select *, ({EMAIL_SQL} + {CARD_SQL}) as pii, (hs > 0.3)::int as hv from h)
+v as (select *, ({MILD_SQL} + {STRONG_SQL}) as pii, (hs > 0.3)::int as hv from h)
 select conv_id, turn, case when pii > 0 then 'mask' when hv > 0 then 'flag' else 'allow' end as action, hs as hallucination_score,
   least(1.0, round_even((hv + (pii > 0)::int) * 0.25 + hs * 0.5, 2))::double as risk_score, hs > 0.6 as withheld from v"""
 
