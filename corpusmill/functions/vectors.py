@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -57,6 +58,35 @@ def hash_embedding(value: Column | str, dim: int) -> Column:
     return embed(as_col(value))
 
 
+def model_embedding(value: Column | str, load: Callable[[], Callable[[list[str]], list]], dim: int, batch: int = 8) -> Column:
+    """Unit vectors of an outside model.
+
+    ``load`` runs once per Python worker and returns a function from texts to vectors; a
+    vector of another length fails the task.
+    """
+
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
+    def embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        encode = load()
+        for texts in batches:
+            rows: list = []
+            for at in range(0, len(texts), batch):
+                part = np.asarray(encode(texts.iloc[at : at + batch].tolist()), dtype=float)
+                if part.ndim != 2 or part.shape[1] != dim:
+                    raise ValueError(f"the model returned vectors of another length than {dim}")
+                norms = np.linalg.norm(part, axis=1, keepdims=True)
+                rows.extend(np.divide(part, norms, out=part.copy(), where=norms > 0))
+            yield pd.Series(rows)
+
+    return embed(as_col(value))
+
+
+def embed_distinct(df: DataFrame, text: str, embed: Callable[[Column], Column], name: str = "embedding") -> DataFrame:
+    """Embed every different text once and give each row its vector."""
+    distinct = df.select(text).where(F.col(text).isNotNull()).distinct()
+    return df.join(distinct.withColumn(name, embed(F.col(text))), text, "left")
+
+
 def dot(left: Column, right: Column) -> Column:
     products = F.zip_with(left, right, lambda a, b: a.cast("double") * b.cast("double"))
     return F.aggregate(products, F.lit(0.0), lambda acc, p: acc + p)

@@ -72,6 +72,11 @@ def drop_orphans(chunks: DataFrame, documents: DataFrame) -> DataFrame:
     return chunks.join(documents.select("document_id"), "document_id", "left_semi")
 
 
+def cache_scope(filter_key: Column, generation: Column) -> Column:
+    """Key of a cache scope; raising the generation on every ingestion or deletion empties it."""
+    return F.concat_ws(":", generation.cast("string"), F.sha2(filter_key, 256))
+
+
 def cached_answer(cache: DataFrame, lookups: DataFrame, similarity, now: Column, ttl_seconds: int = 1800,
                   threshold: float = 0.95) -> DataFrame:
     """Newest cached response of the same filter key within the time limit and similar enough.

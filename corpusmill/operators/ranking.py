@@ -128,17 +128,6 @@ def u_shape_order(rank: Column) -> list[Column]:
     ]
 
 
-def first_per_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
-    """The first row of each key by hash aggregation; a hot key is reduced before the shuffle."""
-    columns = [c for c in df.columns if c not in keys]
-    names = [f"__o{i}" for i in range(len(order))]
-    packed = df.select(*keys, F.struct(*[o.alias(n) for o, n in zip(order, names)],
-                                       F.struct(*columns).alias("__row")).alias("__pick"))
-    return packed.groupBy(*keys).agg(F.min("__pick").alias("__pick")).select(
-        *keys, *[F.col("__pick.__row")[c].alias(c) for c in columns]
-    )
-
-
 def min_max(score: Column, query: str) -> Column:
     """Score scaled to 0..1 within its query; 0 where all are equal."""
     window = Window.partitionBy(query)

@@ -45,6 +45,21 @@ def parse_documents(df: DataFrame, name: str = "name", payload: str = "payload",
     return df.withColumn("parsed", parse(F.col(name), F.col(payload), kind))
 
 
+IMAGES = "array<struct<page:int,image_index:int,name:string,data_size:int>>"
+
+
+def pdf_images(df: DataFrame, payload: str = "payload") -> DataFrame:
+    """One row per image embedded in a PDF; files without any yield none."""
+
+    @F.pandas_udf(IMAGES)
+    def scan(payloads: pd.Series) -> pd.Series:
+        names = ("page", "image_index", "name", "data_size")
+        return payloads.map(lambda p: [dict(zip(names, row)) for row in formats.pdf_images(bytes(p))], na_action="ignore")
+
+    keep = [c for c in df.columns if c != payload]
+    return df.select(*keep, F.inline(scan(F.col(payload))))
+
+
 @F.pandas_udf(T.StringType())
 def _decode(payloads: pd.Series) -> pd.Series:
     return payloads.map(lambda p: formats.decode_bytes(bytes(p)), na_action="ignore")

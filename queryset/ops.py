@@ -193,7 +193,7 @@ def wide_candidates(spark, folder):
     return best.groupBy("user_id").agg(F.count(F.lit(1)).alias("candidates"), F.min("value").alias("lowest"))
 
 
-@R.add("PROF_event_columns", """
+@R.add("AGG-20_event_columns", """
 with c as (select event_id as pos, 'user_id' as col, user_id::varchar as raw from events union all select event_id, 'event_type', event_type from events)
 select col as "column", count(distinct raw) as unique_count from c group by col""")
 def event_columns(spark, folder):

@@ -133,6 +133,26 @@ def keyword_candidates(spark, folder):
     return retrieve.keyword_search(S.searchable(spark, folder), S.embedded_questions(spark, folder))
 
 
+@R.add("VEC-05_all_terms", f"with {DT}, {KEYWORDS} select q as query_id, c as chunk_id, ar as rank from al where ar <= 30")
+def all_terms(spark, folder):
+    return retrieve.all_terms_search(S.searchable(spark, folder), S.questions(spark, folder))
+
+
+@R.add("STR-07_distinct_embeddings", f"""
+with t as (select distinct text, min(doc_id) over (partition by text) as first_id from documents),
+{sql_hash_vectors('v', 't', 'first_id', 'text')}
+select doc_id, round_even(sum(x), 6) as total from documents join t using (text) join v on v.id = first_id group by doc_id""")
+def distinct_embeddings(spark, folder):
+    embedded = vectors.embed_distinct(S.documents(spark, folder), "text", lambda c: vectors.hash_embedding(c, 64))
+    total = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x)
+    return embedded.select(F.col("document_id").alias("doc_id"), rounded(total, 6).alias("total"))
+
+
+@R.add("DML-07_cache_scope", "select event_id, (event_id % 5)::varchar || ':' || sha256(event_type) as scope from events")
+def cache_scope(spark, folder):
+    return S.table(spark, folder, "events").select("event_id", catalog.cache_scope(F.col("event_type"), F.col("event_id") % 5).alias("scope"))
+
+
 @R.add("JOIN-06_term_candidates", f"""
 with {DT}, {FIRST_TERMS}, t as (select c, unnest(list_distinct(ts)) as term from dt)
 select q as query_id, count(distinct c) as candidates from t join qt using (term) group by q""")

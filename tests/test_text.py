@@ -124,3 +124,13 @@ def test_dates_routes_and_json(spark):
     assert one(spark, text.first_json_object, '```json\n{"a": {"b": 1}} tail\n```') == '{"a": {"b": 1}}'
     assert one(spark, text.first_json_object, "none") is None
     assert one(spark, text.normalize_phrase, "Ｇ마켓, ABC") == unicodedata.normalize("NFKC", "g 마켓 abc")
+
+
+def test_model_embedding_checks_length(spark):
+    df = spark.createDataFrame([("ab",), ("c",)], "v string")
+    load = lambda: lambda texts: [[len(t), 0.0] for t in texts]
+    assert [r[0] for r in df.select(vectors.model_embedding("v", load, 2)).collect()] == [[1.0, 0.0], [1.0, 0.0]]
+    import pytest
+
+    with pytest.raises(Exception, match="another length"):
+        df.select(vectors.model_embedding("v", load, 3)).collect()
