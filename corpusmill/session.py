@@ -51,23 +51,28 @@ def ship_package(spark: SparkSession) -> None:
     _shipped.add(context.applicationId)
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the folder the cluster names; survives lost executors.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder named in spark.checkpoint.dir; only a session on one machine may do without, as tests do."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return tempfile.mkdtemp(prefix="corpusmill-")
 
-    Only where no folder is configured (a local test) is a temporary one set.
-    """
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint in the shared folder; survives lost executors."""
     spark = df.sparkSession
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="corpusmill-ckpt-"))
+        context.setCheckpointDir(shared_folder(spark))
     return df.checkpoint(eager=True)
 
 
 def scratch_folder(spark: SparkSession) -> str:
-    """A new folder every executor can reach: below the cluster's checkpoint folder if there is one."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{shared}/corpusmill-{uuid.uuid4().hex}" if shared else tempfile.mkdtemp(prefix="corpusmill-")
+    """A new folder every executor can reach, below the shared one."""
+    return f"{shared_folder(spark)}/corpusmill-{uuid.uuid4().hex}"
 
 
 def fan_out(df: DataFrame, *keys: str) -> DataFrame:
