@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import query_mixing, query_simhash  # noqa: F401
+from . import query_mixing, query_quality, query_simhash  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
