@@ -11,6 +11,10 @@ from pyspark.sql import DataFrame
 BATCH_BYTES = 4 << 20
 
 
+def _bytes(value: pa.Scalar) -> int:
+    return value.as_buffer().size if hasattr(value, "as_buffer") else value.values.nbytes
+
+
 def slices(batch: pa.RecordBatch, column: str, limit: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
     """Consecutive parts of a batch whose values in `column` take about `limit` bytes; a longer value is a part of its own."""
     rows = batch.num_rows
@@ -20,7 +24,7 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = BATCH_BYTES) -> Iter
         return
     start = size = 0
     for i, value in enumerate(batch.column(column)):
-        length = value.as_buffer().size if value.is_valid else 0
+        length = _bytes(value) if value.is_valid else 0
         if i > start and size + length > limit:
             yield batch.slice(start, i - start)
             start, size = i, 0
