@@ -37,5 +37,5 @@ def keyed_join(rows: DataFrame, keys: DataFrame, key: str, n: str, total: int) -
 
 
 def fold(column: str, modulus: int) -> Column:
-    """crc32 of the id written as text, modulo `modulus`: deals rows into folds that do not depend on the table."""
-    return F.crc32(F.col(column).cast("string").cast("binary")) % modulus
+    """crc32 of the id written as text (null: empty), modulo `modulus`: deals rows into folds that do not depend on the table."""
+    return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % modulus
