@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from corpusmill.session import cut_lineage
 
 from .arrow import map_texts
-from .common import fold
+from .common import fold, keep_rows
 
 #: Number of cosines, ridge penalty for each training row, bins of the raw score, and the seed of the projections.
 COSINES, PENALTY, BINS, SEED = 256, 1e-3, 512, 20
@@ -194,8 +194,8 @@ def scored(
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, least: float = 0.7, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of `docs` that score `least` or more, with all their columns. Rows are known by id and a hash of their text."""
+    """The rows of `docs` that score `least` or more, with all their columns."""
     good = scored(docs, labels, id_column, text).where(F.col("score") >= least).select(
-        F.col("doc_id").alias("_doc"), F.col("key").alias("_key")
-    ).distinct()
-    return docs.join(good, F.col(id_column).eqNullSafe(F.col("_doc")) & (F.xxhash64(text) == F.col("_key")), "left_semi")
+        F.struct(F.col("doc_id").alias("id"), F.col("key").alias("hash")).alias("_row")
+    )
+    return keep_rows(docs, good.distinct(), id_column, text)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
 #: A word is a run of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -39,3 +40,16 @@ def keyed_join(rows: DataFrame, keys: DataFrame, key: str, n: str, total: int) -
 def fold(column: str, modulus: int) -> Column:
     """crc32 of the id written as text (null: empty), modulo `modulus`: deals rows into folds that do not depend on the table."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % modulus
+
+
+def row_key(id_column: str = "doc_id", text: str = "text") -> Column:
+    """What tells rows apart: the id and a hash of the text. Nulls are values like others in it."""
+    return F.struct(F.col(id_column).alias("id"), F.xxhash64(text).alias("hash"))
+
+
+def keep_rows(docs: DataFrame, keys: DataFrame, id_column: str = "doc_id", text: str = "text", once: bool = False) -> DataFrame:
+    """The rows of `docs` whose `row_key` is in `keys` (column `_row`, no repeats), all columns kept; `once`: the first of each key."""
+    out = docs.withColumn("_row_", row_key(id_column, text)).join(keys, F.col("_row_") == F.col("_row"), "left_semi")
+    if once:
+        out = out.withColumn("_nth_", F.row_number().over(Window.partitionBy("_row_").orderBy("_row_"))).where("_nth_ = 1")
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -8,7 +8,7 @@ from pyspark.sql import Window
 
 from corpusmill.session import cut_lineage
 
-from .common import WORD, keyed_join, text_of
+from .common import WORD, keyed_join, row_key, text_of
 
 WEIGHTS = (5, 2, 1)
 CAP = 3
@@ -77,7 +77,7 @@ def copy_counts(
     docs: DataFrame, id_column: str = "doc_id", text: str = "text", source: str = "source",
     weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, seed: str = SEED,
 ) -> DataFrame:
-    """doc_id, size, source_size, target, rate, copies: how often the mix takes each document.
+    """doc_id, key (hash of the text), size, source_size, target, rate, copies: how often the mix takes each document.
 
     A document comes floor(rate) times plus once more if its coin is below the fraction of the rate. Only ids,
     sources and sizes are kept; texts are read once and not shuffled.
@@ -86,24 +86,24 @@ def copy_counts(
     ids share one coin; repeated ids get the same coin. Other columns are ignored. Empty table: no rows.
     """
     sized = cut_lineage(docs.select(
-        F.col(id_column).alias("doc_id"), F.col(source).alias("source"), word_count(text_of(text)).alias("size")
+        F.col(id_column).alias("doc_id"), F.xxhash64(text).alias("key"), F.col(source).alias("source"), word_count(text_of(text)).alias("size")
     ))
     rates = source_rates(sized, weights, cap)
     extra = F.when(coin("doc_id", seed) < F.col("rate") - F.floor("rate"), 1).otherwise(0)
     return keyed_join(sized, rates, "source", "n_docs", sized.count()).select(
-        "doc_id", "size", "source_size", "target", "rate", (F.floor("rate") + extra).cast("long").alias("copies")
+        "doc_id", "key", "size", "source_size", "target", "rate", (F.floor("rate") + extra).cast("long").alias("copies")
     )
 
 
-def mix(docs: DataFrame, id_column: str = "doc_id", **options) -> DataFrame:
+def mix(docs: DataFrame, id_column: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """The mixed documents: every row of `docs` as often as `copy_counts` says, all columns kept.
 
-    Rows that repeat an id have one count. Cases as in `copy_counts`; null ids are matched to each other.
+    Rows that repeat id and text have one count, the largest. Cases as in `copy_counts`.
     """
-    counts = copy_counts(docs, id_column, **options).groupBy("doc_id").agg(F.max("copies").alias("_copies")).where("_copies > 0")
-    named = counts.withColumnRenamed("doc_id", "_doc")
+    counts = copy_counts(docs, id_column, text, **options).where("copies > 0")
+    counts = counts.groupBy(F.struct(F.col("doc_id").alias("id"), F.col("key").alias("hash")).alias("_row")).agg(F.max("copies").alias("_copies"))
     return (
-        docs.join(named, F.col(id_column).eqNullSafe(F.col("_doc")))
-        .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
+        docs.withColumn("_row_", row_key(id_column, text)).join(counts, F.col("_row_") == F.col("_row"))
+        .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))))
         .select(*[F.col(f"`{c}`") for c in docs.columns])
     )

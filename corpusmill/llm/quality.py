@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from corpusmill.session import cut_lineage
 
 from .arrow import map_texts
-from .common import keyed_join
+from .common import keep_rows, keyed_join
 
 # The counted symbols, and the width of a repeated passage in words.
 SYMBOLS = b"#*$%&|<>"
@@ -131,6 +131,6 @@ def judged(
 
 
 def keep_good(docs: DataFrame, id_column: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The rows of `docs` that `judged` keeps, with all their columns. Rows are known by id and a hash of their text."""
-    good = judged(docs, id_column, text, **options).where("kept").select(F.col("doc_id").alias("_doc"), F.col("key").alias("_key")).distinct()
-    return docs.join(good, F.col(id_column).eqNullSafe(F.col("_doc")) & (F.xxhash64(text) == F.col("_key")), "left_semi")
+    """The rows of `docs` that `judged` keeps, with all their columns."""
+    good = judged(docs, id_column, text, **options).where("kept").select(F.struct(F.col("doc_id").alias("id"), F.col("key").alias("hash")).alias("_row"))
+    return keep_rows(docs, good.distinct(), id_column, text)

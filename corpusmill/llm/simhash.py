@@ -21,7 +21,7 @@ from pyspark.sql import Window
 from corpusmill.session import cut_lineage
 
 from .arrow import map_texts
-from .common import keyed_join
+from .common import keep_rows, keyed_join
 from .components import components
 
 BITS = 64
@@ -52,8 +52,8 @@ def _fingerprint(text: bytes | None, shingle: int = SHINGLE, seed: int = SEED) -
 
 
 def fingerprints(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, fp (signed long) per row. Null and empty texts and texts without words: 0."""
-    rows = docs.select(F.col(id_column).alias("doc_id"), F.col(text).cast("binary").alias("_text"))
+    """doc_id, key (hash of the text), fp (signed long) per row. Null and empty texts and texts without words: 0."""
+    rows = docs.select(F.col(id_column).alias("doc_id"), F.xxhash64(text).alias("key"), F.col(text).cast("binary").alias("_text"))
     return map_texts(rows, "_text", "fp long", lambda texts: {"fp": pa.array(map(_fingerprint, texts), pa.int64())})
 
 
@@ -141,18 +141,29 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[tuple[int, i
 
 
 def near_groups(docs: DataFrame, id_column: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
-    """doc_id, fp, component_id for every row: the smallest doc_id reachable over fingerprints at most `radius` bits apart.
+    """doc_id, key, fp, component_id and component_key for every row: the smallest doc_id reachable over fingerprints at
+    most `radius` bits apart, and the smallest text hash among the rows of that id that are reachable.
 
     Equal texts share a fingerprint and meet before any search, so a group of copies counts once. Null, empty and
     wordless texts have fingerprint 0 and are linked like any other. Rows with a null id take part; a component
     whose ids are all null has a null component_id. Repeated rows stay. Other columns are ignored. Empty table: no rows.
     """
     rows = cut_lineage(fingerprints(docs, id_column, text))
-    distinct = cut_lineage(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key"))
+    distinct = cut_lineage(rows.groupBy("fp").agg(first.alias("least"), F.count("*").alias("n")))
     roots = components(links(distinct.select("fp"), radius)).select(F.col("node").alias("_node"), "root")
     classes = cut_lineage(distinct.join(roots, F.col("fp") == F.col("_node"), "left").select(
         "fp", "least", "n", F.coalesce("root", "fp").alias("root")
     ))
-    least = classes.groupBy(F.col("root").alias("_root")).agg(F.min("least").alias("component_id"))
-    known = classes.join(least, F.col("root") == F.col("_root")).select("fp", "n", "component_id")
-    return keyed_join(rows, cut_lineage(known), "fp", "n", rows.count()).select("doc_id", "fp", "component_id")
+    least = classes.groupBy(F.col("root").alias("_root")).agg(F.min("least").alias("first"))
+    known = classes.join(least, F.col("root") == F.col("_root")).select(
+        "fp", "n", F.col("first.doc_id").alias("component_id"), F.col("first.key").alias("component_key")
+    )
+    return keyed_join(rows, cut_lineage(known), "fp", "n", rows.count()).drop("n")
+
+
+def keep_one(docs: DataFrame, id_column: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
+    """One row of each group of `near_groups`, the one of the smallest id, with all its columns."""
+    own = (F.col("doc_id").eqNullSafe(F.col("component_id"))) & (F.col("key") == F.col("component_key"))
+    kept = near_groups(docs, id_column, text, radius).where(own).select(F.struct(F.col("doc_id").alias("id"), F.col("key").alias("hash")).alias("_row"))
+    return keep_rows(docs, kept.distinct(), id_column, text, once=True)
