@@ -70,7 +70,7 @@ def _signed(mask: int) -> int:
 
 def _forest(found: np.ndarray, radius: int) -> tuple[list[int], list[int]]:
     """Links that span the groups of `found` (different fingerprints), searched breadth first; each is compared once with all not yet reached."""
-    a, b, rest = [], [], found
+    a, b, rest = [], [], found.view(np.uint64)
     while len(rest) > 1:
         queue, rest = [rest[0]], rest[1:]
         while queue and len(rest):
@@ -78,8 +78,8 @@ def _forest(found: np.ndarray, radius: int) -> tuple[list[int], list[int]]:
             near = np.bitwise_count(rest ^ one) <= radius
             if near.any():
                 new = rest[near]
-                a += [int(one)] * len(new)
-                b += new.tolist()
+                a += [int(one.view(np.int64))] * len(new)
+                b += new.view(np.int64).tolist()
                 queue += list(new)
                 rest = rest[~near]
     return a, b
@@ -134,10 +134,10 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[tuple[int, i
         spans = cut(rows, False)
         done = spans[-1][1] if spans else 0
         if spans:
-            yield [s for s in spans if s[1] - s[0] > 1], rows[:, 4]
+            yield [s for s in spans if s[1] - s[0] > 1], rows[:, 4].copy()
         held = rows[done:]
     if held is not None and len(held) > 1:
-        yield [s for s in cut(held, True) if s[1] - s[0] > 1], held[:, 4]
+        yield [s for s in cut(held, True) if s[1] - s[0] > 1], held[:, 4].copy()
 
 
 def near_groups(docs: DataFrame, id_column: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
