@@ -12,7 +12,7 @@ from .plans import aggregate, answer, ingest
 from .sources import files, sinks
 from .streaming.intake import stored
 
-TABLES = ("documents", "chunks", "traces", "feedback", "audit")
+TABLES = ("documents", "chunks", "traces", "feedback", "audit", "failed")
 # Draft styles.
 DRAFT_STYLES = ("공문서_개조식", "보고서_서술형", "요약표")
 
@@ -46,7 +46,12 @@ class Corpus:
         return written
 
     def ingest_files(self, path: str, project: str = "default") -> DataFrame:
-        parsed = files.parse_documents(files.read_files(self.spark, path)).where(F.col("parsed.error").isNull())
+        """Stores the files below ``path``; those that cannot be read go to the table ``failed`` with their error."""
+        everything = files.parse_documents(files.read_files(self.spark, path))
+        self._append(everything.where(F.col("parsed.error").isNotNull()).select(
+            F.col("name").alias("source_name"), F.col("parsed.error").alias("error"), F.sha2("payload", 256).alias("content_hash"),
+            F.current_timestamp().alias("created_at")), "failed")
+        parsed = everything.where(F.col("parsed.error").isNull())
         return self.ingest(parsed.select(
             F.sha2(F.concat_ws("\x01", "name", F.sha2("payload", 256)), 256).alias("document_id"), F.col("name").alias("source_name"),
             F.lit(project).alias("project_name"), F.col("parsed.text").alias("text")))
@@ -92,10 +97,10 @@ class Corpus:
         return self.query_table(body, question, planner)
 
     def draft(self, titles: DataFrame, style: str, complete) -> answer.Answered:
-        """Drafts (query_id, query_text as title) written by ``complete(question, context)``."""
+        """Drafts (query_id, query_text as title) written by ``complete(title, context, style)``."""
         if style not in DRAFT_STYLES:
             raise ValueError("unknown draft style")
-        return self.query(titles, "weighted", complete=complete)
+        return self.query(titles, "weighted", complete=lambda title, context: complete(title, context, F.lit(style)))
 
     def extract(self, df: DataFrame, answer_column: str, schema: str) -> DataFrame:
         """Fields of an extraction schema read from model answers in ``answer_column``."""
@@ -112,9 +117,10 @@ class Corpus:
     mask = staticmethod(pii.mask_pii)
 
     # Traces and feedback.
-    def record(self, answered: answer.Answered) -> None:
-        rows = answer.traces(answered)
-        self._append(rows.drop("spans"), "traces")
+    def record(self, answered: answer.Answered, latency_ms: float = 0.0) -> None:
+        """Stores traces and audit rows; ``latency_ms`` is what the caller measured for the batch."""
+        rows = answer.traces(answered).withColumn("total_latency_ms", F.lit(float(latency_ms)))
+        self._append(rows, "traces")
         self._append(answered.answers.select(
             F.col("audit_query").alias("query"), "hit_count", "confidence_score", "hallucination_risk", F.current_timestamp().alias("created_at")), "audit")
 
@@ -129,8 +135,7 @@ class Corpus:
         return logs.orderBy(F.desc("created_at"), F.asc("query")).limit(limit)
 
     def metrics(self) -> DataFrame:
-        traces = self.table("traces").withColumn("total_latency_ms", F.lit(0.0))
-        return telemetry.metrics_summary(traces, self.table("feedback"))
+        return telemetry.metrics_summary(self.table("traces"), self.table("feedback"))
 
     def export_curated(self, path: str, min_rating: int = 4) -> None:
         sinks.export_curated(telemetry.curated_samples(self.table("traces"), self.table("feedback"), min_rating), path)

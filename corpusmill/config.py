@@ -26,7 +26,3 @@ class Settings:
     contextual_retrieval: bool = False
     hyde: bool = False
     input_max_length: int = 16384
-
-    # Ours: how much may be held by the driver or broadcast, each checked at run time.
-    max_broadcast_queries: int = 4096
-    max_broadcast_bytes: int = 64 * 1024 * 1024

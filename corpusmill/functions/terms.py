@@ -64,8 +64,8 @@ def _expansions() -> dict[str, list[str]]:
     return {term: sorted(others) for term, others in linked.items()}
 
 
-def expand_query_tokens(token_array: Column) -> Column:
-    """Tokens with their linked terms, first occurrence kept, at most 24."""
+def expand_query_tokens(token_array: Column, limit: int | None = None) -> Column:
+    """Tokens with their linked terms, first occurrence kept; all of them, or the first ``limit``."""
     pairs = []
     for term, others in _expansions().items():
         pairs += [F.lit(term), string_array(others)]
@@ -74,12 +74,14 @@ def expand_query_tokens(token_array: Column) -> Column:
     spread = F.transform(
         token_array, lambda t: F.concat(F.array(t), F.coalesce(F.try_element_at(links, t), empty))
     )
-    return F.slice(F.array_distinct(F.flatten(spread)), 1, QUERY_TERM_LIMIT)
+    expanded = F.array_distinct(F.flatten(spread))
+    return F.slice(expanded, 1, limit) if limit else expanded
 
 
-def normalize_query(value: Column | str) -> Column:
+def normalize_query(value: Column | str, limit: int | None = None) -> Column:
+    """The question as its expanded tokens, all of them or the first ``limit``."""
     value = as_col(value)
     found = tokens(value)
     return F.when(F.size(found) == 0, strip(value)).otherwise(
-        F.array_join(expand_query_tokens(found), " ")
+        F.array_join(expand_query_tokens(found, limit), " ")
     )

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import json
+import re
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import as_col
 
@@ -83,16 +87,52 @@ OMITTED_KEYS = [
 OMITTED_DETAIL_KEYS = ["snippet", "original", "matched_text"]
 
 
-def drop_source_keys(mapping: Column | str) -> Column:
-    """Map without keys whose lower-case form, dashes and underscores removed, is on the list."""
-    return F.map_filter(
-        as_col(mapping), lambda k, _v: ~F.regexp_replace(F.lower(k), "[_-]", "").isin(OMITTED_KEYS)
-    )
+def _is_omitted(key: str) -> bool:
+    return re.sub("[_-]", "", key.lower()) in OMITTED_KEYS
+
+
+def _cleaned(value):
+    """A JSON value without omitted keys at any depth."""
+    if isinstance(value, dict):
+        return {k: _cleaned(v) for k, v in value.items() if not _is_omitted(k)}
+    return [_cleaned(v) for v in value] if isinstance(value, list) else value
+
 
+def _cleaned_text(text: str) -> str | None:
+    try:
+        return json.dumps(_cleaned(json.loads(text)), ensure_ascii=False, separators=(",", ":"))
+    except ValueError:
+        return None if any(_is_omitted(k) for k in re.findall(r"[A-Za-z_-]+", text)) else text
 
-def safe_report(report: Column | str) -> Column:
-    """Quality report struct without the cleaned text."""
-    return as_col(report).dropFields("cleaned_text")
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _cleaned_values(values: pd.Series) -> pd.Series:
+    return values.map(lambda some: [None if v is None else _cleaned_text(v) for v in some], na_action="ignore")
+
+
+def drop_source_keys(mapping: Column | str) -> Column:
+    """Map of strings without keys whose lower-case form, dashes and underscores removed, is on the list.
+
+    Values that are JSON objects or arrays lose such keys at every depth; one that looks like
+    JSON but cannot be read becomes null if it names such a key. Maps without a nested value
+    do not reach Python.
+    """
+    kept = F.map_filter(as_col(mapping), lambda k, _v: ~F.regexp_replace(F.lower(k), "[_-]", "").isin(OMITTED_KEYS))
+    nested = F.exists(F.map_values(kept), lambda v: v.rlike(r"^\s*[\[{]"))
+    values = _cleaned_values(F.when(nested, F.map_values(kept)))
+    return F.when(nested, F.map_from_arrays(F.map_keys(kept), values)).otherwise(kept)
+
+
+def safe_report(report: Column | str, details: str | None = "pii_details") -> Column:
+    """Quality report struct without the cleaned text, and its findings without the text that was found.
+
+    ``details`` names the array of findings; None for reports that have none.
+    """
+    report = as_col(report)
+    safe = report.dropFields("cleaned_text")
+    if details is None:
+        return safe
+    return safe.withField(details, F.transform(report[details], lambda d: d.dropFields(*OMITTED_DETAIL_KEYS)))
 
 
 def source_metadata(metadata: Column | str) -> Column:

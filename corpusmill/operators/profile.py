@@ -18,7 +18,6 @@ OTHER_DOMAIN = "일반 텍스트"
 NULL_WORDS = ["null", "none", "nan", "-"]
 GRADES = [(95, "로컬 1단계 (참고)"), (80, "로컬 2단계 (참고)")]
 LOWEST_GRADE = "로컬 3단계 (참고)"
-SAMPLE = 20
 
 
 def is_null_value(value: Column) -> Column:
@@ -39,56 +38,50 @@ def cells(df: DataFrame, columns: list[str], order: list[str]) -> DataFrame:
     return df.select(F.struct(*order).alias("row"), F.inline(pairs))
 
 
-def column_profile(df: DataFrame, order: list[str], columns: list[str] | None = None) -> DataFrame:
+def column_profile(df: DataFrame, order: list[str], columns: list[str] | None = None, sample: int | None = None) -> DataFrame:
     """(column, null_count, null_ratio, unique_count, detected_domain, invalid_format_count).
 
-    ``order`` names the columns that fix the row order, which decides the 20 sampled values.
-    Values are counted before anything else, so shapes are tested once per distinct value and
-    a value that fills a third of a column is one row after the map side.
+    The domain is decided by all valid values, or by the first ``sample`` in the row order that
+    the columns ``order`` fix.
+
+    Cells are counted by trimmed value before anything else, so shapes are tested once per
+    distinct value and a value that fills a third of a column is one row after the map side.
     """
     columns = columns or df.columns
     all_cells = cells(df, columns, order)
-    valid = all_cells.where(is_valid_value(F.col("value")))
-    sample = top_k(valid, ["column"], [F.asc("row")], SAMPLE)
-    trimmed = strip("value")
-    shapes = {
-        "date": trimmed.rlike(DATE), "phone": trimmed.rlike(PHONE), "email": trimmed.rlike(EMAIL),
-        "number": trimmed.rlike(PLAIN_NUMBER),
-    }
-    votes = sample.groupBy("column").agg(
-        F.count(F.lit(1)).alias("sampled"), *[F.count_if(test).alias(name) for name, test in shapes.items()]
-    )
-    chosen = F.lit(None)
-    for name in ("number", "email", "phone", "date"):
-        enough = F.col(name) == F.col("sampled") if name == "number" else F.col(name) >= F.col("sampled") * 0.7
-        chosen = F.when(enough, name).otherwise(chosen)
-    domains = votes.select("column", chosen.alias("domain"))
-    counted = all_cells.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
-    typed = counted.join(F.broadcast(domains), "column", "left")
-    fits = (
-        F.when(F.col("domain") == "date", valid_calendar_date(trimmed))
-        .when(F.col("domain") == "phone", shapes["phone"])
-        .when(F.col("domain") == "email", shapes["email"])
-        .when(F.col("domain") == "number", shapes["number"])
-        .otherwise(True)
-    )
-    usable = is_valid_value(F.col("value"))
+    valid = is_valid_value(F.col("value"))
+    trimmed = F.col("trimmed")
+    shapes = {"date": trimmed.rlike(DATE), "phone": trimmed.rlike(PHONE), "email": trimmed.rlike(EMAIL), "number": trimmed.rlike(PLAIN_NUMBER)}
+    fits = {**shapes, "date": valid_calendar_date(trimmed)}
+
+    def counts(n: Column) -> list[Column]:
+        votes = [F.sum(F.when(test, n).otherwise(0)).alias(f"votes_{name}") for name, test in shapes.items()]
+        return [F.sum(F.when(trimmed.isNotNull(), n).otherwise(0)).alias("voters"), *votes]
+
     # Values that differ only by outer white space are one valid value.
-    merged = typed.groupBy("column", "domain", F.when(usable, trimmed).alias("trimmed")).agg(
-        F.sum("n").alias("n"),
-        F.sum(F.when(is_null_value(F.col("value")), F.col("n")).otherwise(0)).alias("nulls"),
-        F.sum(F.when(usable & ~fits, F.col("n")).otherwise(0)).alias("invalid"),
+    merged = all_cells.groupBy("column", F.when(valid, strip("value")).alias("trimmed")).agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(is_null_value(F.col("value"))).alias("nulls")
     )
-    return merged.groupBy("column").agg(
-        F.sum("n").alias("total"),
-        F.sum("nulls").alias("null_count"),
-        F.count("trimmed").alias("unique_count"),
-        F.sum("invalid").alias("invalid_format_count"),
-        F.first("domain").alias("domain"),
-    ).select(
+    n = F.col("n")
+    found = merged.groupBy("column").agg(
+        F.sum("n").alias("total"), F.sum("nulls").alias("null_count"), F.count("trimmed").alias("unique_count"), *counts(n),
+        *[F.sum(F.when(trimmed.isNotNull() & ~test, n).otherwise(0)).alias(f"misfits_{name}") for name, test in fits.items()],
+    )
+    if sample:
+        voters = top_k(all_cells.where(valid), ["column"], [F.asc("row")], sample).withColumn("trimmed", strip("value"))
+        said = voters.groupBy("column").agg(*counts(F.lit(1)))
+        found = found.drop("voters", *[f"votes_{name}" for name in shapes]).join(F.broadcast(said), "column", "left")
+    domain = F.lit(None)
+    for name in ("number", "email", "phone", "date"):
+        votes = F.col(f"votes_{name}")
+        enough = votes == F.col("voters") if name == "number" else votes >= F.col("voters") * 0.7
+        domain = F.when((F.col("voters") > 0) & enough, name).otherwise(domain)
+    found = found.withColumn("domain", domain)
+    misfits = [F.when(F.col("domain") == name, F.col(f"misfits_{name}")) for name in fits]
+    return found.select(
         "column", "null_count", rounded(F.col("null_count") / F.col("total"), 4).alias("null_ratio"), "unique_count",
         F.coalesce(*[F.when(F.col("domain") == k, v) for k, v in DOMAINS.items()], F.lit(OTHER_DOMAIN)).alias("detected_domain"),
-        "invalid_format_count", "total",
+        F.coalesce(*misfits, F.lit(0)).alias("invalid_format_count"), "total",
     )
 
 

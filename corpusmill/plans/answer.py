@@ -90,10 +90,17 @@ def answer_questions(questions: DataFrame, chunks: DataFrame, documents: DataFra
     evidence = sources.groupBy("query_id").agg(
         F.collect_list("score").alias("scores"), F.collect_list("content").alias("texts"), F.count(F.lit(1)).alias("hit_count"))
     ready = guarded.join(gated, "query_id", "left").join(context, "query_id", "left").join(evidence, "query_id", "left")
-    generated = complete(F.col("query_text"), F.col("context")) if complete else F.lit(None).cast("string")
+    accepted = (F.col("route") == "retrieval") & (F.col("gate_action") == "accept")
+    if complete:
+        # A Python function in ``complete`` is computed for every row that reaches it, whatever
+        # condition surrounds it, so no text of the others does.
+        visible_text, visible_context = (F.when(accepted, F.col(c)) for c in ("query_text", "context"))
+        generated = F.when(accepted, complete(visible_text, visible_context))
+    else:
+        generated = F.lit(None).cast("string")
     drafted = ready.withColumn("answer", F.when(
         F.col("route") == "conversation", text.conversational_reply("query_text")).when(F.col("route") == "blocked", BLOCKED_ANSWER)
-        .when(F.col("gate_action") == "accept", generated)).withColumn("joined", F.array_join("texts", " "))
+        .when(accepted, generated)).withColumn("joined", F.array_join("texts", " "))
     checked = guardrails.output_guardrail(drafted, "answer", "joined", settings.mask_pii).withColumn(
         "answer", F.when(F.col("withheld"), F.lit(None)).when(F.col("answer").isNotNull(), F.col("sanitized_text")))
     judged = guardrails.attribution(checked.drop("passed"))

@@ -76,12 +76,8 @@ def scratch_folder(spark: SparkSession) -> str:
 
 
 def fan_out(df: DataFrame, *keys: str) -> DataFrame:
-    """Spread a scan that has fewer partitions than cores before heavy per-row work.
-
-    A table of many files already has more partitions than cores, so on a cluster this adds
-    no shuffle; it matters for a single small file, which Spark reads in one task.
-    """
-    target = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= target:
+    """Spreads a single small file over the cores of a local session; on a cluster the input is left as it was split."""
+    context = df.sparkSession.sparkContext
+    if not context.master.startswith("local["):
         return df
-    return df.repartition(target, *keys) if keys else df.repartition(target)
+    return df.repartition(context.defaultParallelism, *keys)

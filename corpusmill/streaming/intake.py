@@ -36,9 +36,19 @@ def stored(spark: SparkSession, store: str, table: str) -> DataFrame | None:
 
 
 def write_batch(files: DataFrame, batch_id: int, store: str, settings: Settings, dim: int, project: str) -> None:
-    """Append one batch under its own batch folder, so that a repeated batch replaces itself."""
+    """Append one batch under its own batch folder, so that a repeated batch replaces itself.
+
+    Files that cannot be read or hold no text go to the table ``failed`` with the reason and
+    their bytes, since a finished source file may be moved away.
+    """
     spark = files.sparkSession
-    parsed = parse_documents(files).where(F.col("parsed.error").isNull() & (F.col("parsed.text") != ""))
+    everything = parse_documents(files)
+    readable = F.col("parsed.error").isNull() & (F.col("parsed.text") != "")
+    everything.where(~readable).select(
+        F.col("name").alias("source_name"), F.coalesce("parsed.error", F.lit("no text")).alias("error"), "payload",
+        F.current_timestamp().alias("created_at"),
+    ).write.mode("overwrite").parquet(f"{store}/failed/batch_id={batch_id}")
+    parsed = everything.where(readable)
     documents = parsed.select(
         F.sha2(F.concat_ws("\x01", "name", F.sha2("payload", 256)), 256).alias("document_id"), F.col("name").alias("source_name"),
         F.lit(project).alias("project_name"), F.col("parsed.text").alias("text"),

@@ -50,7 +50,7 @@ with t as (select item_id, text, list_filter({sql_tokens('text')}, lambda x: tru
 u as (select item_id, text, list_filter(list_transform(range(1, len(ts) + 1), lambda i: case when list_position(ts, ts[i]) = i then ts[i] end), lambda x: x is not null) as ds from t)
 select item_id, case when len(ds) = 0 then trim(text) else array_to_string(ds[1:24], ' ') end as normalized from u""")
 def normalized_query(spark, folder):
-    return table(spark, folder, "benchmark").select("item_id", terms.normalize_query("text").alias("normalized"))
+    return table(spark, folder, "benchmark").select("item_id", terms.normalize_query("text", terms.QUERY_TERM_LIMIT).alias("normalized"))
 
 
 @R.add("TXT-08_route", "select conv_id, turn, 'retrieval' as route from conversations")

@@ -149,18 +149,23 @@ def split_is_total(spark, folder):
 
 
 @R.add("FLT-15_omitted_keys", """
-select event_id, (props->>'$.k') as kept, 1::bigint as keys from events""")
+select event_id, (props->>'$.k') as kept, 3::bigint as keys,
+  '{"a":{"' || event_type || '":1},"b":[{"ok":2}]}' as nested, null::varchar as broken from events""")
 def omitted_keys(spark, folder):
     report = F.map_concat(F.from_json("props", "map<string,string>"), F.create_map(
-        F.lit("Raw_Text"), F.col("event_type"), F.lit("file-path"), F.col("event_type"), F.lit("content"), F.lit("x")))
+        F.lit("Raw_Text"), F.col("event_type"), F.lit("file-path"), F.col("event_type"), F.lit("content"), F.lit("x"),
+        F.lit("deep"), F.concat(F.lit('{"a":{"Content":"x","'), F.col("event_type"), F.lit('":1},"b":[{"file_path":"y","ok":2}]}')),
+        F.lit("cut"), F.lit('{"extracted-text": "unfinished')))
     df = S.table(spark, folder, "events").select("event_id", filters.drop_source_keys(report).alias("m"))
-    return df.select("event_id", F.col("m")["k"].alias("kept"), F.size("m").alias("keys"))
+    return df.select("event_id", F.col("m")["k"].alias("kept"), F.size("m").alias("keys"), F.col("m")["deep"].alias("nested"), F.col("m")["cut"].alias("broken"))
 
 
-@R.add("FLT-16_safe_report", "select event_id, value as score from events")
+@R.add("FLT-16_safe_report", """select event_id, value as score, '[{"kind":"' || event_type || '","start":3}]' as details from events""")
 def safe_report(spark, folder):
-    report = F.struct(F.col("value").alias("score"), F.col("event_type").alias("cleaned_text"))
-    return S.table(spark, folder, "events").select("event_id", filters.safe_report(report).alias("r")).select("event_id", "r.*")
+    found = F.struct(F.col("event_type").alias("kind"), F.col("props").alias("original"), F.col("props").alias("snippet"), F.col("props").alias("matched_text"), F.lit(3).alias("start"))
+    report = F.struct(F.col("value").alias("score"), F.col("event_type").alias("cleaned_text"), F.array(found).alias("pii_details"))
+    safe = S.table(spark, folder, "events").select("event_id", filters.safe_report(report).alias("r"))
+    return safe.select("event_id", "r.score", F.to_json("r.pii_details").alias("details"))
 
 
 @R.add("FLT-17_source_metadata", "select event_id, 1::bigint as keys, event_type as source from events")
@@ -171,10 +176,10 @@ def source_metadata(spark, folder):
 
 
 @R.add("FLT-18_app_response", f"""
-select doc_id, length(substr({MASK_SQL}, 1, 1200)) as text_length, substr(source, 1, 256) as source_name, least(1.0, n_chars / 1000) as score from documents""")
+select doc_id, substr({MASK_SQL}, 1, 1200) as text, substr(source, 1, 256) as source_name, least(1.0, n_chars / 1000) as score from documents""")
 def app_response(spark, folder):
     docs = fan_out(S.table(spark, folder, "documents"), "doc_id").select("doc_id", "text", F.col("source").alias("source_name"), (F.col("n_chars") / 1000).alias("score"))
-    return filters.app_response(docs, mask_pii).select("doc_id", F.length("text").alias("text_length"), "source_name", "score")
+    return filters.app_response(docs, mask_pii).select("doc_id", "text", "source_name", "score")
 
 
 @R.add("FLT-19_redacted_queries", "select event_id, case when event_type = 'view' then 'omitted;chars:' || user_id else 'legacy_query_redacted' end as query from events")
@@ -194,10 +199,11 @@ def wide_candidates(spark, folder):
 
 
 @R.add("AGG-20_event_columns", """
-with c as (select event_id as pos, 'user_id' as col, user_id::varchar as raw from events union all select event_id, 'event_type', event_type from events)
+with c as (select unnest(['event_id', 'ts', 'user_id', 'event_type', 'value', 'props']) as col,
+  unnest([event_id::varchar, ts::varchar, user_id::varchar, event_type, value::varchar, props]) as raw from events)
 select col as "column", count(distinct raw) as unique_count from c group by col""")
 def event_columns(spark, folder):
-    return profile.column_profile(S.table(spark, folder, "events"), ["event_id"], ["user_id", "event_type"]).select("column", "unique_count")
+    return profile.column_profile(S.table(spark, folder, "events"), ["event_id"]).select("column", "unique_count")
 
 
 def _stream(spark, folder, name, schema=None):

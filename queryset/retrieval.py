@@ -81,12 +81,12 @@ s as (select q.id as q, d.id as c, round(sum(q.x * d.x), 9) as sim from qv q joi
 dr as (select *, row_number() over (partition by q order by sim desc, c) as rank from s)"""
 DT = f"dt as (select doc_id as c, {sql_tokens('text')} as ts from documents)"
 RAW_TERMS = f"qt as (select q, term, count(*) as qtf from (select item_id as q, unnest({sql_tokens('text')}) as term from benchmark) group by all)"
-# No term of the tables has a linked term, so normalizing keeps the first 24 distinct tokens.
+# No term of the tables has a linked term, so normalizing keeps the distinct tokens.
 FIRST_TERMS = f"""
 qw as (select item_id as q, {sql_tokens('text')} as ts from benchmark),
 qo as (select q, term, min(p) as p from (select q, unnest(ts) as term, unnest(range(len(ts))) as p from qw) group by all),
 qn as (select *, row_number() over (partition by q order by p) as pos from qo),
-qt as (select q, term, 1 as qtf from qn where pos <= 24)"""
+qt as (select q, term, 1 as qtf from qn)"""
 
 
 def bm25_sql(name: str, pairs: str) -> str:
@@ -119,23 +119,29 @@ def text_topk(spark, folder):
     return hits.withColumn("similarity", rounded("similarity", 4))
 
 
-KEYWORDS = f"""
-{FIRST_TERMS}, kw as (select q, term from qn where pos <= 8), qc as (select q, count(*) as need from kw group by q),
+def keywords_sql(first: str = "") -> str:
+    return f"""
+{FIRST_TERMS}, kw as (select q, term from qn {first}), qc as (select q, count(*) as need from kw group by q),
 hit as (select kw.q, d.doc_id as c, sum((strpos(lower(d.text), kw.term) > 0)::int) as matches,
-  sum(list_contains(dt.ts, kw.term)::int) as present from kw, documents d join dt on dt.c = d.doc_id group by all),
+  sum(list_contains(dt.ts, kw.term)::int) as present,
+  round(sum(len(list_filter(dt.ts, lambda x: x = kw.term)))::double / greatest(len(dt.ts), 1), 9) as density
+  from kw, documents d join dt on dt.c = d.doc_id group by kw.q, d.doc_id, len(dt.ts)),
 ks as (select *, row_number() over (partition by q order by matches desc, c) as kr from hit where matches > 0),
-al as (select hit.*, row_number() over (partition by hit.q order by hit.c) as ar from hit join qc using (q) where present >= need),
+al as (select hit.*, row_number() over (partition by hit.q order by density desc, hit.c) as ar from hit join qc using (q) where present >= need),
 cand as (select q, c, max(matches)::double as raw_matches from (select q, c, matches from ks where kr <= 30 union all select q, c, matches from al where ar <= 30) group by all)"""
 
 
-@R.add("VEC-06_keyword_candidates", f"with {DT}, {KEYWORDS} select q as query_id, c as chunk_id, raw_matches from cand")
+KEYWORDS, FIRST_KEYWORDS = keywords_sql(), keywords_sql("where pos <= 8")
+
+
+@R.add("VEC-06_keyword_candidates", f"with {DT}, {FIRST_KEYWORDS} select q as query_id, c as chunk_id, raw_matches from cand")
 def keyword_candidates(spark, folder):
-    return retrieve.keyword_search(S.searchable(spark, folder), S.embedded_questions(spark, folder))
+    return retrieve.keyword_search(S.searchable(spark, folder), S.embedded_questions(spark, folder), terms=8)
 
 
-@R.add("VEC-05_all_terms", f"with {DT}, {KEYWORDS} select q as query_id, c as chunk_id, ar as rank from al where ar <= 30")
+@R.add("VEC-05_all_terms", f"with {DT}, {FIRST_KEYWORDS} select q as query_id, c as chunk_id, density, ar as rank from al where ar <= 30")
 def all_terms(spark, folder):
-    return retrieve.all_terms_search(S.searchable(spark, folder), S.questions(spark, folder))
+    return retrieve.all_terms_search(S.searchable(spark, folder), S.questions(spark, folder), terms=8)
 
 
 @R.add("STR-07_distinct_embeddings", f"""

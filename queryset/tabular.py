@@ -16,7 +16,7 @@ R = Registry()
 QUERIES, ORACLES = R.queries, R.oracles
 
 LINE_COLUMNS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice",
-                "l_discount", "l_tax", "l_returnflag", "l_linestatus"]
+                "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
 
 
 def lines(spark, folder):
@@ -29,7 +29,7 @@ def run(df, plan):
     return result if plan.metric == "count" else result.withColumn("value", rounded("value", 2))
 
 
-def aggregate_query(name, metric, column=None, groups=(), flt=(), limit=100, order="desc"):
+def aggregate_query(name, metric, column=None, groups=(), flt=(), limit=None, order="desc"):
     plan = A.AggregatePlan(metric, column, tuple(groups), tuple(flt), limit, order)
     picked = ", ".join(groups)
     value = "count(*)" if metric == "count" else f"round_even({metric}({sql_number(f'{column}::varchar')}), 2)"
@@ -40,7 +40,7 @@ def aggregate_query(name, metric, column=None, groups=(), flt=(), limit=100, ord
     if groups:
         raw = "count(*)" if metric == "count" else f"{metric}({sql_number(f'{column}::varchar')})"
         sql += f" group by {picked} order by {raw} {order} nulls last, {picked}"
-    sql = f"select {picked + ', ' if groups else ''}value from ({sql} limit {limit})"
+    sql = f"select {picked + ', ' if groups else ''}value from ({sql} {f'limit {limit}' if limit else ''})"
     R.add(name, sql)(lambda spark, folder: run(lines(spark, folder), plan))
 
 
@@ -136,13 +136,13 @@ SHAPE_SQL = {
 }
 
 
-def profile_sql(cells: str) -> str:
+def profile_sql(cells: str, sample: int | None = None) -> str:
     counts = ", ".join(f"count(*) filter ({test}) as {name}" for name, test in SHAPE_SQL.items())
     return f"""
 with cells as ({cells}),
 good as (select *, trim(raw) as v from cells where raw is not null and trim(raw) not in ('', 'null', 'none', 'nan', '-')),
 ranked as (select *, row_number() over (partition by col order by pos) as rn from good),
-sampled as (select col, count(*) as sampled, {counts} from ranked where rn <= 20 group by col),
+sampled as (select col, count(*) as sampled, {counts} from ranked {f'where rn <= {sample}' if sample else ''} group by col),
 domains as (select col, {PROFILE_DOMAINS} as domain from sampled),
 fit as (select g.col, g.v, case
     when domain like '날짜%' then {SHAPE_SQL['d']} and try_cast(translate(v, '/.', '--') as date) is not null
@@ -185,9 +185,9 @@ def column_profile(spark, folder):
     return profile.column_profile(sheet(spark, folder), ["o_orderkey"])
 
 
-@R.add("QLT-05_domain_inference", f'select "column", detected_domain, invalid_format_count from ({profile_sql(SHEET_CELLS)})')
+@R.add("QLT-05_domain_inference", f'select "column", detected_domain, invalid_format_count from ({profile_sql(SHEET_CELLS, 20)})')
 def domain_inference(spark, folder):
-    return profile.column_profile(sheet(spark, folder), ["o_orderkey"]).select("column", "detected_domain", "invalid_format_count")
+    return profile.column_profile(sheet(spark, folder), ["o_orderkey"], sample=20).select("column", "detected_domain", "invalid_format_count")
 
 
 DATASET_SQL = f"""

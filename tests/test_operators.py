@@ -229,15 +229,22 @@ def test_prompts(spark):
 def test_aggregate_example(spark):
     df = spark.createDataFrame([("한빛초", "4500"), ("한빛초", "5500"), ("샘물중", "6000")], "`학교` string, `급식 단가` string")
     answer = A.answer_question(df, "학교별 급식 단가 평균을 알려줘")
-    assert answer.plan == A.AggregatePlan("avg", "급식 단가", ("학교",), (), 20, "desc")
+    assert answer.plan == A.AggregatePlan("avg", "급식 단가", ("학교",), (), None, "desc")
     assert [tuple(r) for r in answer.results.collect()] == [("샘물중", 6000.0), ("한빛초", 5000.0)]
 
 
 def test_plan_validation_and_numbers(spark):
     df = spark.createDataFrame([("1d",), ("1_000",), ("1,000",), (" 12 ",), ("-3.5e1",), (None,)], "v string")
     assert [r[0] for r in df.select(A.number(df, "v")).collect()] == [None, None, None, 12.0, -35.0, None]
-    check = lambda **kw: A.validate_plan(A.plan_from_mapping(kw), ["a", "b"], ["b"], "sum of b where a is 7")
-    assert check(metric="sum", column="b", filters=[{"column": "a", "operator": "eq", "value": 7}], limit=999).limit == 100
+    check = lambda **kw: A.validate_plan(A.plan_from_mapping(kw), ["a", "b"], ["b"], "sum of b where a is 7", limits)
+    limits = A.PlanLimits()
+    seven = [{"column": "a", "operator": "eq", "value": 7}]
+    assert check(metric="sum", column="b", filters=seven, limit=999).limit == 999 and check(metric="count").limit is None
+    assert len(check(metric="count", filters=seven * 40).filters) == 40
+    limits = A.PlanLimits(rows=100, filters=10)
+    assert check(metric="sum", column="b", filters=seven, limit=999).limit == 100
+    with pytest.raises(ValueError):
+        check(metric="count", filters=seven * 11)
     for bad in ({"metric": "median"}, {"metric": "sum", "column": "a"}, {"metric": "count", "group_by": ["zz"]},
                 {"metric": "count", "filters": [{"column": "a", "operator": "eq", "value": 8}]}, {"metric": "count", "limit": True}):
         with pytest.raises(ValueError):
