@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..config import Settings
 from ..functions import chunking, context, pii, terms, text, vectors
 from ..operators import catalog, quality
+from ..session import scratch_folder
 
 
 def prepare(documents: DataFrame, settings: Settings) -> DataFrame:
@@ -67,6 +68,9 @@ def ingest(documents: DataFrame, settings: Settings | None = None, dim: int | No
            embed=None) -> tuple[DataFrame, DataFrame]:
     """(documents, chunks) to append: new ones only, one per source, content and project."""
     settings = settings or Settings()
-    prepared = prepare(documents, settings)
+    # Written once: identities are aggregated from it, and texts kept by them.
+    folder = f"{scratch_folder(documents.sparkSession)}/prepared"
+    prepare(documents, settings).write.parquet(folder)
+    prepared = documents.sparkSession.read.parquet(folder)
     fresh = catalog.distinct_documents(prepared) if stored is None else catalog.new_documents(prepared, stored)
     return fresh, to_chunks(fresh, settings, dim or settings.embedding_dim, embed)

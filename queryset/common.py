@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.functions.text import KEYWORD_PATTERN, KEYWORD_STOPWORDS, TOKEN_PATTERN, TOKEN_STOPWORDS
@@ -68,6 +70,15 @@ def sql_keywords(column: str) -> str:
     )
 
 
+def by_id(key: str, phrases: list[str]) -> tuple[Callable[[], Column], str]:
+    """One of the phrases for each row, chosen by its id, as a column (once called) and as SQL: feeds branches that the tables alone do not reach."""
+
+    def column() -> Column:
+        return F.element_at(F.array(*map(F.lit, phrases)), (F.col(key) % len(phrases) + 1).cast("int"))
+
+    return column, f"({quoted(phrases)}[({key} % {len(phrases)} + 1)::int])"
+
+
 SQL_SPACE = r"' ' || chr(9) || chr(10) || chr(13)"
 
 

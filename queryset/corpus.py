@@ -12,7 +12,7 @@ from corpusmill.session import fan_out
 from corpusmill.sources import files
 from corpusmill.sources.tables import documents, table
 
-from .common import SQL_SPACE, Registry, sql_strip, sql_tokens
+from .common import Registry, SQL_SPACE, by_id, quoted, sql_strip, sql_tokens
 
 R = Registry()
 QUERIES, ORACLES = R.queries, R.oracles
@@ -53,9 +53,15 @@ def normalized_query(spark, folder):
     return table(spark, folder, "benchmark").select("item_id", terms.normalize_query("text", terms.QUERY_TERM_LIMIT).alias("normalized"))
 
 
-@R.add("TXT-08_route", "select conv_id, turn, 'retrieval' as route from conversations")
+SAID, SAID_SQL = by_id("turn", ["", "안녕하세요!", "Hello ?", "고마워요 감사합니다", "안녕 예산은?"])
+
+
+@R.add("TXT-08_route", f"""
+with c as (select conv_id, turn, case when {SAID_SQL} = '' then text else {SAID_SQL} end as said from conversations)
+select conv_id, turn, case when list_contains({quoted(text.GREETINGS)}, lower(regexp_replace(said, '[\\s.!?,~。！？]+', '', 'g'))) then 'conversation' else 'retrieval' end as route from c""")
 def route(spark, folder):
-    return table(spark, folder, "conversations").select("conv_id", "turn", text.query_route("text").alias("route"))
+    said = F.when(SAID() == "", F.col("text")).otherwise(SAID())
+    return table(spark, folder, "conversations").select("conv_id", "turn", text.query_route(said).alias("route"))
 
 
 @R.add("TXT-09_hyde_trigger", f"select conv_id, turn, len({sql_tokens('text')}) <= 3 and length(text) <= 80 as wants from conversations")
@@ -74,11 +80,27 @@ def content_hash(spark, folder):
     return hashed.groupBy("content_hash").agg(F.count(F.lit(1)).alias("copies"), F.min("document_id").alias("first_id"))
 
 
-@R.add("TXT-05_terms", "select doc_id, text = text as unchanged, 0::bigint as replaced from documents")
+NAMED, NAMED_SQL = by_id("doc_id", ["", " 핸드폰 번호", " 휴대폰, 핸드폰.", " 주민번호 과태금 공문", " 핸드폰번호", " 시행일 접수일 시행일"])
+
+
+def _replaced_sql(value: str) -> tuple[str, str]:
+    """The text with whole-word variants replaced, and how many there were, word by word."""
+    words = f"regexp_extract_all({value}, '[\\p{{L}}\\p{{N}}_]+')"
+    hits = f"len(list_filter({words}, lambda w: list_contains({quoted(list(terms.TERMS))}, w)))"
+    out = value
+    for variant, canonical in terms.TERMS.items():
+        out = f"regexp_replace(regexp_replace({out}, '(^|[^\\p{{L}}\\p{{N}}_]){variant}($|[^\\p{{L}}\\p{{N}}_])', '\\1{canonical}\\2', 'g'), '(^|[^\\p{{L}}\\p{{N}}_]){variant}($|[^\\p{{L}}\\p{{N}}_])', '\\1{canonical}\\2', 'g')"
+    return out, hits
+
+
+REPLACED_SQL, HITS_SQL = _replaced_sql("t")
+
+
+@R.add("TXT-05_terms", f"with d as (select doc_id, text || {NAMED_SQL} as t from documents) select doc_id, {REPLACED_SQL} as replaced, {HITS_SQL}::bigint as hits from d")
 def term_replacement(spark, folder):
-    return documents(spark, folder).select(
-        F.col("document_id").alias("doc_id"), (terms.replace_terms("text") == F.col("text")).alias("unchanged"),
-        F.aggregate(F.map_values(terms.term_counts("text")), F.lit(0), lambda a, n: a + n).alias("replaced"))
+    named = table(spark, folder, "documents").select("doc_id", F.concat("text", NAMED()).alias("t"))
+    return named.select("doc_id", terms.replace_terms("t").alias("replaced"),
+                        F.aggregate(F.map_values(terms.term_counts("t")), F.lit(0), lambda a, n: a + n).alias("hits"))
 
 
 @R.add("TXT-14_one_line", r"""

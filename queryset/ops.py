@@ -141,7 +141,7 @@ def label_ranges(spark, folder):
 
 @R.add("TXT-23_split_is_total", "select count(*) as samples, true as balanced from conversations")
 def split_is_total(spark, folder):
-    """Every row falls on one side and about nine in ten on the first."""
+    """Every row falls on one side and about nine in ten on the first; which one only the hash of this engine decides."""
     keyed = S.table(spark, folder, "conversations").withColumn("key", F.concat_ws(":", "conv_id", "turn"))
     marked = samples.train_validation(keyed, "key")
     share = F.avg((F.col("split") == "train").cast("int"))
@@ -168,11 +168,16 @@ def safe_report(spark, folder):
     return safe.select("event_id", "r.score", F.to_json("r.pii_details").alias("details"))
 
 
-@R.add("FLT-17_source_metadata", "select event_id, 1::bigint as keys, event_type as source from events")
+@R.add("FLT-17_source_metadata", """
+with m as (select event_id, case event_id % 3 when 0 then 'parent_text' when 1 then 'Parent_Text' else 'note' end as key, event_type from events)
+select event_id, case when key = 'parent_text' then 1 else 2 end::bigint as keys, event_type as source,
+  case when key <> 'parent_text' then key end as other from m""")
 def source_metadata(spark, folder):
-    metadata = F.create_map(F.lit("source"), F.col("event_type"), F.lit("parent_text"), F.col("props"))
+    key = F.when(F.col("event_id") % 3 == 0, "parent_text").when(F.col("event_id") % 3 == 1, "Parent_Text").otherwise("note")
+    metadata = F.create_map(F.lit("source"), F.col("event_type"), key, F.col("props"))
     df = S.table(spark, folder, "events").select("event_id", filters.source_metadata(metadata).alias("m"))
-    return df.select("event_id", F.size("m").alias("keys"), F.col("m")["source"].alias("source"))
+    others = F.filter(F.map_keys("m"), lambda k: k != "source")
+    return df.select("event_id", F.size("m").alias("keys"), F.col("m")["source"].alias("source"), F.try_element_at(others, F.lit(1)).alias("other"))
 
 
 @R.add("FLT-18_app_response", f"""

@@ -10,7 +10,7 @@ from corpusmill.plans import aggregate as A
 from corpusmill.sources.tables import table
 from corpusmill.session import fan_out
 
-from .common import Registry, sql_number
+from .common import Registry, by_id, sql_number
 
 R = Registry()
 QUERIES, ORACLES = R.queries, R.oracles
@@ -101,19 +101,29 @@ def rule_planner(spark, folder):
     return answer.results.withColumn("value", rounded("value", 2))
 
 
-@R.add("AGG-11_route_intent", r"""
+ASKED, ASKED_SQL = by_id("doc_id", ["", " 학교별 평균을 알려줘", " the total", " subtotal", " 개수는?", " MAX value", " minimal", " 최고 점수"])
+
+
+@R.add("AGG-11_route_intent", rf"""
+with d as (select doc_id, text || {ASKED_SQL} as text from documents)
 select doc_id, regexp_matches(lower(text), '평균|합계|총액|총합|합산|집계|통계|계산|건수|개수|수량|비율|최소|최저|최대|최고')
-  or regexp_matches(lower(text), '(^|[^\p{L}\p{N}_])(average|avg|sum|total|count|aggregate|statistics|minimum|maximum|min|max)($|[^\p{L}\p{N}_])')
-  as aggregates from documents""")
+  or regexp_matches(lower(text), '(^|[^\p{{L}}\p{{N}}_])(average|avg|sum|total|count|aggregate|statistics|minimum|maximum|min|max)($|[^\p{{L}}\p{{N}}_])')
+  as aggregates from d""")
 def route_intent(spark, folder):
-    return table(spark, folder, "documents").select("doc_id", A.wants_aggregate("text").alias("aggregates"))
+    asked = table(spark, folder, "documents").select("doc_id", F.concat("text", ASKED()).alias("text"))
+    return asked.select("doc_id", A.wants_aggregate("text").alias("aggregates"))
+
+
+ENDING, ENDING_SQL = by_id("page_id", ["", ".csv", ".XLSX", ".csv.gz", ".html"])
+MIME, MIME_SQL = by_id("page_id", ["", "text/html", "TEXT/CSV"])
 
 
-@R.add("AGG-12_table_source", r"""
-select page_id, lower(regexp_extract(url, '\.([^.]*)$', 1)) in ('csv', 'tsv', 'xlsx', 'xls') as tabular from pages""")
+@R.add("AGG-12_table_source", rf"""
+with p as (select page_id, url || {ENDING_SQL} as name, nullif({MIME_SQL}, '') as mime from pages)
+select page_id, lower(regexp_extract(name, '\.([^.]*)$', 1)) in ('csv', 'tsv', 'xlsx', 'xls') or coalesce(lower(mime) = 'text/csv', false) as tabular from p""")
 def table_source(spark, folder):
-    return table(spark, folder, "pages").select(
-        "page_id", A.is_table_source(F.col("url"), F.lit(None).cast("string")).alias("tabular"))
+    named = table(spark, folder, "pages").select("page_id", F.concat("url", ENDING()).alias("name"), F.nullif(MIME(), F.lit("")).alias("mime"))
+    return named.select("page_id", A.is_table_source(F.col("name"), F.col("mime")).alias("tabular"))
 
 
 @R.add("TOP-02_value_order", """
