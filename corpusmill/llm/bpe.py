@@ -12,6 +12,7 @@ import hashlib
 import heapq
 import json
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -23,8 +24,8 @@ from .arrow import map_texts
 
 # Fixed value: the pattern that splits a text into words before merging.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Words that a Python worker remembers, and tokens of a long text that are laid out at once.
-REMEMBERED = 250_000
+#: Words that a Python worker remembers before the older half goes, and tokens of a long text that are laid out at once.
+REMEMBERED = 400_000
 LAID_OUT = 1 << 20
 _END = -1
 
@@ -61,10 +62,8 @@ class Vocabulary:
         self.lengths = np.array([len(self.bytes_of.get(i, b"")) for i in range(size)], np.int64)
         self.starts = np.cumsum(self.lengths) - self.lengths
         self.letters = np.frombuffer(b"".join(self.bytes_of.get(i, b"") for i in range(size)), np.uint8)
-        self.forget()
-
-    def forget(self) -> None:
-        self.known: dict[str, list[int]] = {}
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def merged(self, words: list[str]) -> list[list[int]]:
         """Token ids of each word."""
@@ -124,20 +123,16 @@ class Vocabulary:
             parts = self.split.split(text) if self.split else [text]
             split.append([(self.special[p] if i % 2 else self.words.findall(p)) for i, p in enumerate(parts)])
         if len(self.known) > REMEMBERED:
-            self.forget()
-        fresh = list({w for parts in split for p in parts if not isinstance(p, int) for w in p} - self.known.keys())
-        self.known.update(zip(fresh, self.merged(fresh)))
-        known, out = self.known, []
-        for parts in split:
-            ids: list[int] = []
-            for part in parts:
-                if isinstance(part, int):
-                    ids.append(part)
-                else:
-                    for word in part:
-                        ids += known[word]
-            out.append(np.array(ids, "<u4"))
-        return out
+            self.known, self.older = {}, self.known
+        needed = set(chain.from_iterable(p for parts in split for p in parts if not isinstance(p, int))) - self.known.keys()
+        self.known.update((w, self.older[w]) for w in needed & self.older.keys())
+        fresh = list(needed - self.known.keys())
+        self.known.update((w, np.array(ids, "<u4").tobytes()) for w, ids in zip(fresh, self.merged(fresh), strict=True))
+        of = self.known.__getitem__
+        return [
+            np.frombuffer(b"".join(int(p).to_bytes(4, "little") if isinstance(p, int) else b"".join(map(of, p)) for p in parts), "<u4")
+            for parts in split
+        ]
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of token ids; bytes that are not UTF-8 become U+FFFD."""
