@@ -13,6 +13,10 @@ from ..functions.text import rounded
 FAN = 256
 
 
+#: Rows of two ids and a key (some 100 bytes each) that may be broadcast.
+MAX_BROADCAST = 100_000
+
+
 def beside(df: DataFrame, one: DataFrame) -> DataFrame:
     """Columns of a one-row aggregate next to every row, as a scalar subquery."""
     packed = one.select(F.struct(*one.columns)).scalar()
@@ -89,17 +93,21 @@ def exact_ranks(scored: DataFrame, wanted: DataFrame, query: str, item: str, ord
 
     ``order`` is a struct that sorts ascending into rank order and is unique per query. Every
     scored row is compared with its query's few wanted keys and only counts are shuffled, so
-    no query is sorted as a whole.
+    no query is sorted as a whole. The wanted items are broadcast where there are at most
+    ``MAX_BROADCAST`` of them and shuffled otherwise.
     """
     keyed = scored.select(query, item, order.alias("key"))
+    pairs = wanted.select(query, item).distinct()
+    few = pairs.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST
+    side = F.broadcast if few else (lambda df: df)
     marks = (
-        keyed.join(F.broadcast(wanted.select(query, item).distinct()), [query, item], "left_semi")
+        keyed.join(side(pairs), [query, item], "left_semi")
         .groupBy(query)
         .agg(F.sort_array(F.collect_list(F.struct("key", item))).alias("marks"))
     )
     position = F.size(F.filter("marks", lambda m: m["key"] <= F.col("key")))
     counts = (
-        keyed.join(F.broadcast(marks), query)
+        keyed.join(side(marks), query)
         .groupBy(query, position.alias("position"))
         .agg(F.count(F.lit(1)).alias("n"))
     )

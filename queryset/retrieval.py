@@ -236,17 +236,15 @@ def hybrid_scaled(spark, folder):
 
 
 @R.add("VEC-13_multi_query", rf"""
-with pt as (select item_id, unnest(list_filter(string_split_regex(text, '[.?!]\s+'), lambda x: length(trim(x)) > 10)[1:3]) as body,
-  unnest(range(least(3, len(list_filter(string_split_regex(text, '[.?!]\s+'), lambda x: length(trim(x)) > 10))))) as part from benchmark),
+with pt as (select item_id, unnest(list_filter(string_split_regex(text, '[.?!]\s+'), lambda x: length(trim(x)) > 10)) as body,
+  unnest(range(len(list_filter(string_split_regex(text, '[.?!]\s+'), lambda x: length(trim(x)) > 10)))) as part from benchmark),
 pk as (select item_id || ':' || part as id, trim(body, ' ' || chr(10)) as body from pt),
 {sql_hash_vectors('dv', 'documents', 'doc_id', 'text')}, {sql_hash_vectors('qv', 'pk', 'id', 'body')},
 s as (select q.id as p, d.id as c, round(sum(q.x * d.x), 9) as sim from qv q join dv d using (slot) group by all),
 dr as (select *, row_number() over (partition by p order by sim desc, c) as rank from s),
 {fused_sql("select split_part(p, ':', 1)::bigint as q, c, 1.0 / (60 + rank) as part from dr where rank <= 15")}""")
 def multi_query(spark, folder):
-    from corpusmill.functions.text import sentences_after_stop
-
-    parts = S.questions(spark, folder).select("query_id", F.posexplode(F.slice(sentences_after_stop("query_text"), 1, 3)).alias("part", "body"))
+    parts = retrieve.split_sentences(S.questions(spark, folder))
     asked = parts.select(F.concat_ws(":", F.col("query_id").cast("string"), F.col("part").cast("string")).alias("query_id"),
                          vectors.hash_embedding("body", 64).alias("query_vector"))
     hits = retrieve.dense_search(S.searchable(spark, folder), asked, 15)
@@ -310,10 +308,8 @@ def list_rank(spark, folder):
 
 @R.add("WIN-02_first_known", "select user_id, arg_min(value, event_id) filter (event_type = 'purchase') as first_purchase from events group by user_id having first_purchase is not null")
 def first_known(spark, folder):
-    """First value that is present, in list order."""
     known = F.when(F.col("event_type") == "purchase", F.col("value"))
-    df = S.table(spark, folder, "events").where(known.isNotNull())
-    return df.groupBy("user_id").agg(F.min_by(known, "event_id").alias("first_purchase"))
+    return retrieve.first_known(S.table(spark, folder, "events"), "user_id", known, "event_id", "first_purchase")
 
 
 @R.add("WIN-04_min_max", f"""
@@ -345,8 +341,8 @@ def prompt_context(spark, folder):
 @R.add("JOIN-01_hits_with_documents", f"with {TEXT} select q as query_id, c as chunk_id, source as source_name, lang as project_name from dr join documents on doc_id = c where rank <= 3")
 def hits_with_documents(spark, folder):
     hits = retrieve.dense_search(S.searchable(spark, folder), S.embedded_questions(spark, folder), 3)
-    docs = S.documents(spark, folder).select(F.col("document_id").alias("chunk_id"), "source_name", "project_name")
-    return hits.join(docs, "chunk_id").select("query_id", "chunk_id", "source_name", "project_name")
+    named = retrieve.with_documents(hits, S.documents(spark, folder), ["source_name", "project_name"])
+    return named.select("query_id", "chunk_id", "source_name", "project_name")
 
 
 @R.add("FLT-14_live_documents", f"""
@@ -370,18 +366,14 @@ select coalesce(d.q, k.q) as query_id, coalesce(d.c, k.c) as chunk_id, coalesce(
 from dd d full join cand k on d.q = k.q and d.c = k.c""")
 def merged_lists(spark, folder):
     chunks, asked = S.searchable(spark, folder), S.embedded_questions(spark, folder)
-    dense = retrieve.dense_search(chunks, asked, 20).select("query_id", "chunk_id", F.col("rank").alias("dense_rank"), F.lit(None).cast("double").alias("raw_matches"))
-    keyword = retrieve.keyword_search(chunks, asked).select("query_id", "chunk_id", F.lit(None).cast("int").alias("dense_rank"), "raw_matches")
-    return dense.unionByName(keyword).groupBy("query_id", "chunk_id").agg(
-        F.coalesce(F.max("dense_rank"), F.lit(0)).alias("dense_rank"), F.coalesce(F.max("raw_matches"), F.lit(0.0)).alias("raw_matches"))
+    return retrieve.merge_candidates(retrieve.dense_search(chunks, asked, 20), retrieve.keyword_search(chunks, asked))
 
 
 @R.add("SET-01_candidate_union", f"""
 with {TEXT}, {DT}, {KEYWORDS} select q as query_id, count(*) as candidates from (select q, c from dr where rank <= 20 union select q, c from cand) group by q""")
 def candidate_union(spark, folder):
     chunks, asked = S.searchable(spark, folder), S.embedded_questions(spark, folder)
-    both = retrieve.dense_search(chunks, asked, 20).select("query_id", "chunk_id").unionByName(
-        retrieve.keyword_search(chunks, asked).select("query_id", "chunk_id")).distinct()
+    both = retrieve.merge_candidates(retrieve.dense_search(chunks, asked, 20), retrieve.keyword_search(chunks, asked))
     return both.groupBy("query_id").agg(F.count(F.lit(1)).alias("candidates"))
 
 
