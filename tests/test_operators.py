@@ -259,3 +259,38 @@ def test_subqueries():
     assert plan_subqueries("한빛초 그리고 샘물중 예산 비교", lambda _q: good).strategy == "llm"
     invented = '{"is_compound": true, "subqueries": ["한빛초 2031", "샘물중 예산"]}'
     assert plan_subqueries("한빛초 그리고 샘물중 예산 비교", lambda _q: invented).strategy == "fallback"
+
+
+def test_cache_of_one_scope(spark):
+    """All entries and lookups share one filter key; the newest near entry wins."""
+    rows = [("k", [1.0, float(i % 5)], f"r{i}", i) for i in range(400)]
+    cache = spark.createDataFrame(rows, "filter_key string, embedding array<double>, response string, s bigint").withColumn(
+        "stored_at", F.timestamp_seconds(F.col("s"))).drop("s")
+    lookups = spark.createDataFrame([(i, "k", [1.0, float(i)]) for i in range(5)] + [(9, "other", [1.0, 0.0])], "lookup_id bigint, filter_key string, embedding array<double>")
+    same = lambda a, b: (a == b).cast("double")
+    found = catalog.cached_answer(cache, lookups, same, F.timestamp_seconds(F.lit(500)), ttl_seconds=450)
+    assert {r.lookup_id: r.response for r in found.collect()} == {i: f"r{395 + i}" for i in range(5)}
+
+
+def test_empty_questions_in_every_search(corpus):
+    _texts, _asked, chunks, queries = corpus
+    none = queries.where("false")
+    for found in (retrieve.keyword_search(chunks, none), retrieve.all_terms_search(chunks, none), retrieve.dense_search(chunks, none, 3),
+                  retrieve.hybrid_exhaustive(chunks, none, 3), retrieve.hybrid_weighted(chunks, none, 3)):
+        assert found.count() == 0
+
+
+def test_full_text_hits_are_ranked_by_density(spark):
+    texts = ["alpha beta gamma delta", "alpha beta", "alpha alpha beta zeta", "alpha only", "beta alpha"]
+    chunks = spark.createDataFrame(list(enumerate(texts)), "chunk_id bigint, content string").withColumn("tokens", tokens("content"))
+    queries = spark.createDataFrame([(0, "alpha beta")], "query_id bigint, query_text string")
+    hits = retrieve.all_terms_search(chunks, queries, 2).orderBy("rank").collect()
+    assert [(r.chunk_id, r.density) for r in hits] == [(1, 1.0), (4, 1.0)]
+    long = spark.createDataFrame([(0, " ".join(f"word{i}" for i in range(40)))], "query_id bigint, query_text string")
+    whole = spark.createDataFrame([(0, " ".join(f"word{i}" for i in range(40))), (1, " ".join(f"word{i}" for i in range(39)))], "chunk_id bigint, content string")
+    assert [r.chunk_id for r in retrieve.all_terms_search(whole.withColumn("tokens", tokens("content")), long).collect()] == [0]
+
+
+def test_long_questions_are_searched_as_they_are():
+    question = "그리고 비교? " * 1000
+    assert plan_subqueries(question).queries == (question,)
