@@ -17,16 +17,10 @@ R = Registry()
 QUERIES, ORACLES = R.queries, R.oracles
 
 # The English parts of the input rules; the tables hold no Hangul.
-RULES = {
-    "instruction_override": (r"(?i)(ignore|disregard)\s+(all\s+)?(previous|prior|above)\s+instructions", "critical", True),
-    "system_prompt_leakage": (r"(?i)(repeat\s+(the\s+)?(words\s+above|system\s+prompt)|print\s+(the\s+)?system\s+prompt|what\s+is\s+your\s+system\s+prompt|reveal\s+your\s+(instructions|system\s+prompt))", "critical", True),
-    "role_hijacking_jailbreak": (r"(?i)(you\s+are\s+now\s+in\s+DAN\s+mode|do\s+anything\s+now|unfiltered\s+mode|developer\s+mode\s+enabled)", "high", True),
-    "delimiter_injection": (r"```\s*(system|assistant|instruction|human|user)[\r\n]|<\|im_start\|>|<\|im_end\|>|\[INST\]|\[/INST\]|<\|(system|user|assistant)\|>", "high", False),
-    "hidden_instruction_comment": (r"<!--\s*(system|instruction|override|execute)[\s\S]*?-->|/\*\s*(system|instruction|override)[\s\S]*?\*/", "medium", False),
-    "hypothetical_jailbreak": (r"(?i)in\s+a\s+purely\s+hypothetical\s+fictional\s+scenario\s+where\s+safety\s+does\s+not\s+matter", "medium", False),
-    "malware_creation": (r"(?i)write\s+(a\s+)?(keylogger|ransomware|trojan|rootkit)", "critical", True),
-    "sql_injection_attempt": (r"(?i)(union\s+select\s+.*\s+from|drop\s+table\s+rag_|;\s*drop\s+database|''\s*or\s+''1''=''1)", "high", True),
-}
+# Rules whose match is no reason to block.
+MILD_RULES = ["delimiter_injection", "hidden_instruction_comment", "hypothetical_jailbreak"]
+# Pattern, severity and whether a match blocks, of each rule that the guardrail applies.
+RULES = {name: (pattern.replace("'", "''"), severity, name not in MILD_RULES) for name, _kind, severity, pattern in guardrails.INPUT_RULES}
 RISK = {"critical": 0.5, "high": 0.3, "medium": 0.15}
 
 
