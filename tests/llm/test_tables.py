@@ -335,3 +335,13 @@ def test_mix_and_token_stages(staged):
 def test_run_gives_what_the_stages_give(spark, staged):
     folder, out = staged
     assert corpus_pipeline.run(spark, folder).select("doc_id", "ids_sha256").exceptAll(out[-1][2].select("doc_id", "ids_sha256")).count() == 0
+
+
+@pytest.mark.parametrize("make", [awkward, empty])
+def test_stages_take_awkward_and_no_documents(spark, sf, make):
+    docs = make(spark)
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, sf)
+        rows = out.count()
+        assert rows == 0 if make is empty else rows <= 3 * len(awkward_rows())
+        assert name == "tokens" or out.columns == docs.columns
