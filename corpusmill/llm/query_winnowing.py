@@ -13,7 +13,7 @@ from .registry import query
 from .winnowing import hashes, likeness, with_fingerprint, written
 
 #: Rows that share a task when each is given the next one, and how many such groups are told apart at most by quantiles.
-GROUP_ROWS, GROUPS = 4096, 16384
+GROUP_ROWS, GROUPS = 1024, 16384
 
 
 def _group(bounds: list[int], column: str) -> Column:
@@ -42,7 +42,8 @@ def with_next(docs: DataFrame, id_column: str, text: str, payload: str, paid: Ca
     shares = [i / parts for i in range(1, parts)]
     bounds = sorted(set(docs.agg(F.percentile_approx(id_column, F.array(*map(F.lit, shares)), F.lit(10 * parts))).first()[0] or [])) if shares else []
     tie = F.xxhash64(text)
-    rows = paid(docs).withColumn("_group", _group(bounds, id_column)).withColumn("_tie", tie)
+    # Texts move before they are worked on, so that only they do.
+    rows = paid(docs.withColumn("_group", _group(bounds, id_column)).withColumn("_tie", tie).repartition("_group"))
     order = Window.partitionBy("_group").orderBy(F.col(id_column).desc_nulls_last(), "_tie")
     rows = rows.withColumn("_next", F.lead(F.struct(F.col(text).alias("text"), F.col(payload).alias("payload"))).over(order))
     ids = docs.select(F.col(id_column).alias("_id")).withColumn("_of", _group(bounds, "_id"))
