@@ -67,6 +67,8 @@ GOOD, BAD, OPEN = 1, -1, 0
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)", re.S)
 _NAMED = re.compile(r"(?:^|[\s\"'/])(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))|(?=[\s/]|$))", re.S | re.I)
+#: Attributes of an anchor that only names a place.
+_ANCHOR = re.compile(r"(?i)(?!.*\bhref\b)(?=.*\b(?:name|id)\s*=).*", re.S)
 _PART = re.compile(r"[A-Za-z]+")
 _WORDS = re.compile(r"\w+")
 _CLOSERS: dict[str, re.Pattern] = {}
@@ -103,7 +105,7 @@ def _marked(name: str, attributes: str, within_article: bool) -> tuple[bool, boo
 def blocks_of(page: str) -> list[Block]:
     """Blocks of a page in order, with character references decoded and white space squeezed; empty ones are left out."""
     found: list[Block] = []
-    stack: list[tuple[str, bool, bool]] = []
+    stack: list[tuple[str, bool, bool, bool]] = []
     out = within = 0
     pieces: list[str] = []
     links: list[str] = []
@@ -131,10 +133,10 @@ def blocks_of(page: str) -> list[Block]:
 
     def close(count):
         nonlocal out, within, anchors
-        for name, was_out, was_in in (stack.pop() for _ in range(count)):
+        for _name, was_out, was_in, was_link in (stack.pop() for _ in range(count)):
             out -= was_out
             within -= was_in
-            anchors -= name == "a"
+            anchors -= was_link
 
     at = 0
     while (tag := _TAG.search(page, at)) is not None:
@@ -181,10 +183,13 @@ def blocks_of(page: str) -> list[Block]:
         # A header inside an article holds its headline.
         out_here |= name in OUTSIDE or name == "header" and not within
         in_here |= name in INSIDE and not out_here
-        stack.append((name, out_here, in_here))
+        if name == "a" and stack and stack[-1][0] == "a":
+            close(1)  # links do not nest
+        link = name == "a" and not _ANCHOR.fullmatch(tag[3])
+        stack.append((name, out_here, in_here, link))
         out += out_here
         within += in_here
-        anchors += name == "a"
+        anchors += link
         heading = any(x[0] in HEADINGS for x in stack)
     text(page[at:])
     flush()
@@ -212,6 +217,10 @@ def labelled(page: str) -> list[Block]:
     has_article = any(b.inside and not b.outside for b in blocks)
     for b in blocks:
         b.label = _first_label(b, has_article)
+    if not any(b.label == GOOD for b in blocks):
+        # An article that is all links is still one.
+        for b in blocks:
+            b.label = GOOD if b.inside and b.label == OPEN else b.label
     first = [b.label for b in blocks]
     before, last = [], BAD
     for label in first:

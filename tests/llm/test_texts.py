@@ -167,6 +167,11 @@ def test_extraction_without_landmarks_uses_the_words():
     assert extraction.main_text(page).split("\n\n") == ["Title", body.strip(), "It was so.", body.strip()]
 
 
+def test_extraction_with_broken_links():
+    assert extraction.main_text("<nav><a href=a>x</a></nav><article><p><a name=top>First one</p><p>Second one</p></article>") == "First one\n\nSecond one"
+    assert extraction.main_text("<article><p><a href=x>All is a link</p><p>Next</p></article><footer>f</footer>") == "All is a link\n\nNext"
+
+
 def test_extraction_matches_the_documents(spark, sf):
     texts = {" ".join(r.text.split()) for r in sample(spark, sf).collect()}
     pages = spark.read.parquet(f"{sf}/pages.parquet")
