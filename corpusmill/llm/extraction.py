@@ -26,6 +26,8 @@ BLOCKS = frozenset([
 ])
 VOID = frozenset(["area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"])
 RAW = frozenset(["script", "style", "textarea", "title", "noscript", "template", "iframe", "noframes", "xmp", "svg", "math", "canvas", "object", "select", "button"])
+#: Those that run to the end of the page when they are not closed; the others end with the block around them.
+ENDLESS = frozenset(["script", "style", "textarea", "title", "iframe", "noframes", "xmp"])
 OUTSIDE = frozenset(["nav", "menu", "footer", "aside", "form", "head", "dialog", "fieldset", "search", "dir", "label", "legend"])
 HEADINGS = frozenset(["h1", "h2", "h3", "h4", "h5", "h6"])
 INSIDE = frozenset(["article", "main"])
@@ -170,18 +172,20 @@ def blocks_of(page: str) -> list[Block]:
             if open_p is not None and stack[-1 - open_p][0] == "p":
                 close(open_p + 1)
         if name in RAW:
-            # What these hold is not text of the page; without an end they run on to its end.
+            # What these hold is not text of the page.
             closer = _CLOSERS.setdefault(name, re.compile(rf"</{name}(?:[\s/][^>]*)?>", re.I))
             if tag[3].endswith("/"):
                 continue
             end = closer.search(page, at)
-            at = end.end() if end else len(page)
-            continue
+            if end or name in ENDLESS:
+                at = end.end() if end else len(page)
+                continue
+            flush()
         if tag[3].endswith("/") and name not in BLOCKS:
             continue
         out_here, in_here = _marked(name, tag[3], within > 0)
         # A header inside an article holds its headline.
-        out_here |= name in OUTSIDE or name == "header" and not within
+        out_here |= name in OUTSIDE or name in RAW or name == "header" and not within
         in_here |= name in INSIDE and not out_here
         if name == "a" and stack and stack[-1][0] == "a":
             close(1)  # links do not nest

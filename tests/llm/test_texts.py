@@ -172,6 +172,13 @@ def test_extraction_with_broken_links():
     assert extraction.main_text("<article><p><a href=x>All is a link</p><p>Next</p></article><footer>f</footer>") == "All is a link\n\nNext"
 
 
+@pytest.mark.parametrize("name", ["button", "select", "object", "svg", "noscript"])
+def test_extraction_behind_an_unclosed_button(name):
+    page = f"<nav><{name}>Menu<ul><li>x</ul></nav><article><p>First one</p><p>Second one</p></article>"
+    assert extraction.main_text(page) == "First one\n\nSecond one"
+    assert extraction.main_text(f"<article><p>One<{name}>not this</p><p>Two</p></article><script>x") == "One\n\nTwo"
+
+
 def test_extraction_matches_the_documents(spark, sf):
     texts = {" ".join(r.text.split()) for r in sample(spark, sf).collect()}
     pages = spark.read.parquet(f"{sf}/pages.parquet")
