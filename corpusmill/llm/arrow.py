@@ -37,17 +37,19 @@ def map_texts(df: DataFrame, column: str, schema: str, work: Callable[[list], di
 
     `work` returns lists as long as its input, by name; `schema` declares them in order. The other columns stay.
     """
-    kept = [c for c in df.columns if c != column]
+    kept = [i for i, c in enumerate(df.columns) if c != column]
+    at = df.columns.index(column)
     names = [part.split()[0] for part in schema.split(",")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, column):
-                made = work(part.column(column).to_pylist())
+            for part in slices(batch, f"_{at}"):
+                made = work(part.column(at).to_pylist())
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(c) for c in kept] + [pa.array(made[n]) if not isinstance(made[n], pa.Array) else made[n] for n in names],
-                    names=kept + names,
+                    [part.column(i) for i in kept] + [pa.array(made[n]) if not isinstance(made[n], pa.Array) else made[n] for n in names],
+                    names=[*[f"_{i}" for i in kept], *names],
                 )
 
-    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*kept).schema)
-    return df.mapInArrow(run, f"{types}, {schema}")
+    # Inside, columns go by their number, so that any names pass.
+    types = [f"_{i} {df.schema[i].dataType.simpleString()}" for i in kept]
+    return df.toDF(*[f"_{i}" for i in range(len(df.columns))]).mapInArrow(run, ", ".join([*types, schema])).toDF(*[df.columns[i] for i in kept], *names)

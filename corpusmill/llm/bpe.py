@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrow import map_texts
+from .common import unused
 
 # Fixed value: the pattern that splits a text into words before merging.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -186,10 +187,11 @@ def decode(encoded: DataFrame, path: str, ids: str = "ids", into: str = "text")
     with open(path, encoding="utf-8") as file:
         source = encoded.sparkSession.sparkContext.broadcast(file.read())
     kept = [c for c in encoded.columns if c != into]
+    numbers, made = unused("ids", kept), unused("text", kept)
 
     def work(values: list[list[int] | None]) -> dict[str, pa.Array]:
         vocabulary = _vocabulary(source.value)
-        return {"_text": pa.array([None if v is None else vocabulary.decode(np.array(v, np.int64)) for v in values], pa.string())}
+        return {made: pa.array([None if v is None else vocabulary.decode(np.array(v, np.int64)) for v in values], pa.string())}
 
-    rows = encoded.select(*[F.col(f"`{c}`") for c in kept], F.col(ids).alias("_ids"))
-    return map_texts(rows, "_ids", "_text string", work).withColumnRenamed("_text", into)
+    rows = encoded.select(*[F.col(f"`{c}`") for c in kept], F.col(ids).alias(numbers))
+    return map_texts(rows, numbers, f"{made} string", work).withColumnRenamed(made, into)

@@ -47,9 +47,27 @@ def row_key(id_column: str = "doc_id", text: str = "text") -> Column:
     return F.struct(F.col(id_column).alias("id"), F.xxhash64(text).alias("hash"))
 
 
+def unused(name: str, columns: list[str]) -> str:
+    """`name`, with as many underscores behind it as no column has, in capitals or not."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def packed(docs: DataFrame, **parts: Column) -> DataFrame:
+    """`parts` as columns of their own and all columns of `docs` in one struct `row`, so that no name of theirs can clash; see `unpacked`."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *[c.alias(name) for name, c in parts.items()])
+
+
+def unpacked(rows: DataFrame) -> DataFrame:
+    """The columns that `packed` put into `row`."""
+    return rows.select("row.*")
+
+
 def keep_rows(docs: DataFrame, keys: DataFrame, id_column: str = "doc_id", text: str = "text", once: bool = False) -> DataFrame:
     """The rows of `docs` whose `row_key` is in `keys` (column `_row`, no repeats), all columns kept; `once`: the first of each key."""
-    out = docs.withColumn("_row_", row_key(id_column, text)).join(keys, F.col("_row_") == F.col("_row"), "left_semi")
+    out = packed(docs, key=row_key(id_column, text)).join(keys, F.col("key") == F.col("_row"), "left_semi")
     if once:
-        out = out.withColumn("_nth_", F.row_number().over(Window.partitionBy("_row_").orderBy("_row_"))).where("_nth_ = 1")
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+        out = out.withColumn("nth", F.row_number().over(Window.partitionBy("key").orderBy("key"))).where("nth = 1")
+    return unpacked(out)

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrow import map_texts
+from .common import unused
 
 # Elements of HTML by their part in the layout.
 BLOCKS = frozenset([
@@ -65,6 +66,10 @@ MAX_LINK_SHARE = 0.5
 SHORT_WORDS, LONG_WORDS = 12, 30
 LOW_DENSITY, HIGH_DENSITY = 0.15, 0.3
 
+#: Letters of a block that says something about its page, letters that a character of a script without spaces stands for, and the
+#: share of listed stop words below which a page is taken to be in another language.
+LONG_SIZE, WIDE, FOREIGN_DENSITY = 80, 3, 0.05
+
 GOOD, BAD, OPEN = 1, -1, 0
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)", re.S)
@@ -73,6 +78,8 @@ _NAMED = re.compile(r"(?:^|[\s\"'/])(class|id|role|hidden|aria-hidden)(?:\s*=\s*
 _ANCHOR = re.compile(r"(?i)(?!.*\bhref\b)(?=.*\b(?:name|id)\s*=).*", re.S)
 _PART = re.compile(r"[A-Za-z]+")
 _WORDS = re.compile(r"\w+")
+# Thai, Lao, Khmer, Burmese, Japanese and Chinese letters.
+_WIDE_LETTERS = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
 _CLOSERS: dict[str, re.Pattern] = {}
 
 
@@ -86,6 +93,13 @@ class Block:
     outside: bool
     inside: bool
     label: int = OPEN
+    #: What decided the label: place, landmark, links, density, size or neighbours.
+    rule: str = "neighbours"
+
+    @property
+    def size(self) -> int:
+        """Letters of the text; one of a script without spaces counts as a short word of WIDE."""
+        return len(self.text.replace(" ", "")) + (WIDE - 1) * len(_WIDE_LETTERS.findall(self.text))
 
 
 def _marked(name: str, attributes: str, within_article: bool) -> tuple[bool, bool]:
@@ -200,27 +214,45 @@ def blocks_of(page: str) -> list[Block]:
     return found
 
 
-def _first_label(block: Block, page_has_article: bool) -> int:
+def _first_label(block: Block, landmark: bool, foreign: bool) -> tuple[int, str]:
+    """Label and rule of a block. `landmark`: articles decide. `foreign`: stop words say nothing, size decides."""
     density = block.stop_words / max(1, block.words)
     if block.outside:
-        return BAD
-    if block.inside:
-        return GOOD if block.link_share <= MAX_LINK_SHARE or block.heading else OPEN
-    if page_has_article or block.link_share > MAX_LINK_SHARE:
-        return BAD
+        return BAD, "place"
+    if landmark and block.inside:
+        return (GOOD, "landmark") if block.link_share <= MAX_LINK_SHARE or block.heading else (OPEN, "neighbours")
+    if landmark:
+        return BAD, "landmark"
+    if block.link_share > MAX_LINK_SHARE:
+        return BAD, "links"
+    if foreign:
+        return (GOOD, "size") if block.size >= LONG_SIZE and not block.heading else (OPEN, "neighbours")
     if block.words < SHORT_WORDS or block.heading:
-        return OPEN
+        return OPEN, "neighbours"
     if density >= HIGH_DENSITY or density >= LOW_DENSITY and block.words >= LONG_WORDS:
-        return GOOD
-    return OPEN if density >= LOW_DENSITY else BAD
+        return GOOD, "density"
+    return (OPEN, "neighbours") if density >= LOW_DENSITY else (BAD, "density")
+
+
+def _kinds(blocks: list[Block]) -> tuple[bool, bool]:
+    """Whether articles decide on the page, and whether its language is none of the listed ones.
+
+    Articles decide if they hold at least half of the text of few links outside menus and the like.
+    """
+    text = [b for b in blocks if not b.outside and b.link_share <= MAX_LINK_SHARE]
+    held, whole = sum(b.size for b in text if b.inside), sum(b.size for b in text)
+    some = any(b.inside and not b.outside for b in blocks)
+    long = [b for b in text if b.size >= LONG_SIZE]
+    foreign = bool(long) and sum(b.stop_words for b in long) < FOREIGN_DENSITY * sum(max(b.words, b.size / 8) for b in long)
+    return some and 2 * held >= whole, foreign
 
 
 def labelled(page: str) -> list[Block]:
     """Blocks with their final labels, GOOD or BAD."""
     blocks = blocks_of(page)
-    has_article = any(b.inside and not b.outside for b in blocks)
+    landmark, foreign = _kinds(blocks)
     for b in blocks:
-        b.label = _first_label(b, has_article)
+        b.label, b.rule = _first_label(b, landmark, foreign)
     if not any(b.label == GOOD for b in blocks):
         # An article that is all links is still one.
         for b in blocks:
@@ -242,6 +274,8 @@ def labelled(page: str) -> list[Block]:
                 b.label = before[i]
             elif b.heading:
                 b.label = after[i]
+            elif foreign:
+                b.label = GOOD if 2 * b.size >= LONG_SIZE else BAD
             else:
                 b.label = GOOD if b.stop_words / max(1, b.words) >= HIGH_DENSITY or b.words >= SHORT_WORDS else BAD
     return blocks
@@ -259,9 +293,11 @@ def extract(pages: DataFrame, html_column: str = "html", into: str = "text") ->
     Ids, urls and other columns pass through as they are, repeated rows too; a column already named like `into` is
     replaced. Empty table: no rows.
     """
-    rows = pages.select(*[F.col(f"`{c}`") for c in pages.columns if c not in (html_column, into)], F.col(html_column).cast("binary").alias("_html"))
+    kept = [c for c in pages.columns if c not in (html_column, into)]
+    page, made = unused("html", kept), unused("text", kept)
 
     def work(values: list[bytes | None]) -> dict[str, pa.Array]:
-        return {"_text": pa.array([main_text((v or b"").decode("utf-8", "replace")) for v in values], pa.string())}
+        return {made: pa.array([main_text((v or b"").decode("utf-8", "replace")) for v in values], pa.string())}
 
-    return map_texts(rows, "_html", "_text string", work).withColumnRenamed("_text", into)
+    rows = pages.select(*[F.col(f"`{c}`") for c in kept], F.col(html_column).cast("binary").alias(page))
+    return map_texts(rows, page, f"{made} string", work).withColumnRenamed(made, into)

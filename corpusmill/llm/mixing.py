@@ -8,7 +8,7 @@ from pyspark.sql import Window
 
 from corpusmill.session import cut_lineage
 
-from .common import WORD, keyed_join, row_key, text_of
+from .common import WORD, keyed_join, packed, row_key, text_of, unpacked
 
 WEIGHTS = (5, 2, 1)
 CAP = 3
@@ -102,8 +102,5 @@ def mix(docs: DataFrame, id_column: str = "doc_id", text: str = "text", **option
     """
     counts = copy_counts(docs, id_column, text, **options).where("copies > 0")
     counts = counts.groupBy(F.struct(F.col("doc_id").alias("id"), F.col("key").alias("hash")).alias("_row")).agg(F.max("copies").alias("_copies"))
-    return (
-        docs.withColumn("_row_", row_key(id_column, text)).join(counts, F.col("_row_") == F.col("_row"))
-        .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))))
-        .select(*[F.col(f"`{c}`") for c in docs.columns])
-    )
+    rows = packed(docs, key=row_key(id_column, text)).join(counts, F.col("key") == F.col("_row"))
+    return unpacked(rows.select("row", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))))

@@ -167,6 +167,73 @@ def test_extraction_without_landmarks_uses_the_words():
     assert extraction.main_text(page).split("\n\n") == ["Title", body.strip(), "It was so.", body.strip()]
 
 
+def test_extraction_is_not_misled_by_an_article_card():
+    body = "the cat and the dog were on the hill when it was so " * 10
+    page = f"<body><div>{body}</div><article class=card><h3>Other</h3><p>Short card text here.</p></article></body>"
+    assert extraction.main_text(page) == body.strip()
+    page = f"<body><article><h1>Head</h1><p>{body}</p></article><div>{body}</div><div>{body}</div><article><p>Card.</p></article></body>"
+    assert extraction.main_text(page).count(body.strip()) == 3
+
+
+def test_extraction_in_languages_that_are_not_listed():
+    russian = ["Это первый абзац длинного текста без служебных слов из списка и он должен остаться целиком " * 6, "Второй абзац также остаётся на странице потому что он длинный " * 9]
+    menu = "<div><a href=/1>Главная</a> <a href=/2>Новости</a></div>"
+    page = f"<body>{menu}<h1>Заголовок</h1><p>{russian[0]}</p><p>Короткая строка.</p><p>{russian[1]}</p><div>© 2020</div></body>"
+    assert extraction.main_text(page).split("\n\n") == ["Заголовок", russian[0].strip(), "Короткая строка.", russian[1].strip()]
+    chinese = ["这是一个没有空格的中文段落它应该被完整地保留下来" * 7, "第二个段落也很长所以它也应该留在结果里面" * 9]
+    page = f"<body>{menu}<div>{chinese[0]}</div><div>{chinese[1]}</div></body>"
+    assert extraction.main_text(page).split("\n\n") == chinese
+
+
+def _plain_labels(page):
+    """The two passes written out: rules on each block, then neighbours, on pages in the listed languages."""
+    blocks = extraction.blocks_of(page)
+    text = [b for b in blocks if not b.outside and b.link_share <= 0.5]
+    landmark = any(b.inside and not b.outside for b in blocks) and 2 * sum(b.size for b in text if b.inside) >= sum(b.size for b in text)
+    first = []
+    for b in blocks:
+        density = b.stop_words / max(1, b.words)
+        if b.outside or landmark and not b.inside or not landmark and b.link_share > 0.5:
+            first.append(-1)
+        elif landmark:
+            first.append(1 if b.link_share <= 0.5 or b.heading else 0)
+        elif b.words < 12 or b.heading or 0.15 <= density < 0.3 and b.words < 30:
+            first.append(0)
+        else:
+            first.append(1 if density >= 0.15 else -1)
+    out = []
+    for i, (b, label) in enumerate(zip(blocks, first, strict=True)):
+        before = next((x for x in reversed(first[:i]) if x), -1)
+        after = next((x for x in first[i + 1 :] if x), -1)
+        if label:
+            out.append(label)
+        elif before == after or b.heading:
+            out.append(after)
+        else:
+            out.append(1 if b.stop_words >= 0.3 * max(1, b.words) or b.words >= 12 else -1)
+    return out
+
+
+def test_extraction_rules_against_two_plain_passes():
+    some, seen = random.Random(9), Counter()
+    good = "the cat and the dog were on the hill when it was so".split()
+    bad = "alpha beta gamma delta epsilon zeta eta theta".split()
+    for _ in range(300):
+        parts = ["<p>" + "the man who was here and there is one of them " * 4 + "</p>"]
+        for _ in range(some.randint(1, 12)):
+            words = " ".join(some.choice(some.choice([good, bad])) for _ in range(some.randint(1, 40)))
+            tag = some.choice(["p", "div", "h2", "nav", "li"])
+            parts.append(f"<{tag}>{f'<a href=x>{words}</a>' if some.random() < 0.2 else words}</{tag}>")
+        some.shuffle(parts)
+        at = some.randint(0, len(parts))
+        page = "".join(parts) if some.random() < 0.5 else "".join([*parts[:at], "<article>", *parts[at:], "</article>"])
+        blocks = extraction.labelled(page)
+        seen.update(b.rule for b in blocks)
+        if any(b.label == 1 for b in blocks):
+            assert [b.label for b in blocks] == _plain_labels(page)
+    assert min(seen[r] for r in ("place", "landmark", "links", "density", "neighbours")) > 20
+
+
 def test_extraction_with_broken_links():
     assert extraction.main_text("<nav><a href=a>x</a></nav><article><p><a name=top>First one</p><p>Second one</p></article>") == "First one\n\nSecond one"
     assert extraction.main_text("<article><p><a href=x>All is a link</p><p>Next</p></article><footer>f</footer>") == "All is a link\n\nNext"
