@@ -7,12 +7,15 @@ from pyspark.sql import functions as F
 
 from corpusmill.session import cut_lineage
 
+#: Tasks of a round at least, where their number follows the edges.
+LEAST_TASKS = 12
+
 
 def _tally(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
 
-def _stars(edges: DataFrame, large: bool) -> DataFrame:
+def _stars(edges: DataFrame, large: bool, tasks: int | None) -> DataFrame:
     """Every neighbour (large: the larger ones, small: the smaller ones) is tied to the least of a node and its neighbours."""
     if large:
         near = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -24,19 +27,22 @@ def _stars(edges: DataFrame, large: bool) -> DataFrame:
         out = joined.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
         out = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-    return out.where("u != v").distinct()
+    out = out.where("u != v")
+    return (out.coalesce(tasks).distinct().coalesce(tasks)) if tasks else out.distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, task_edges: int | None = None) -> DataFrame:
     """node, root: for each node with an edge in `edges` (u, v; long), the least node that it reaches.
 
     Each round costs a few shuffles of the edges, and the number of rounds grows with the logarithm of the graph.
-    Loops and repeated edges do not matter; no edges: no rows.
+    Loops and repeated edges do not matter; no edges: no rows. `task_edges`: how many edges a task should work on; then a
+    small graph does not leave files for every shuffle partition behind in each round (LEAST_TASKS tasks at least).
     """
     now = cut_lineage(edges.select("u", "v").where("u != v").distinct())
     tally = _tally(now)
+    tasks = max(LEAST_TASKS, tally[0] // task_edges) if task_edges else None
     while tally[0]:
-        now = cut_lineage(_stars(_stars(now, large=True), large=False))
+        now = cut_lineage(_stars(_stars(now, True, tasks), False, tasks))
         before, tally = tally, _tally(now)
         if before == tally:
             break
