@@ -7,8 +7,8 @@ from pyspark.sql.window import Window
 
 from corpusmill.functions import vectors
 from corpusmill.functions.text import rounded, tokens
-from corpusmill.operators import catalog, filters, ranking, retrieve
-from corpusmill.session import fan_out
+from corpusmill.operators import catalog, filters, ranking, retrieve, vector_index
+from corpusmill.session import fan_out, scratch_folder
 from corpusmill.sources import tables as S
 
 from .common import Registry, sql_hash_vectors, sql_tokens
@@ -41,6 +41,47 @@ def filtered_topk(spark, folder):
     return retrieve.dense_search(rows, S.label_centroids(spark, folder), 5).drop("similarity")
 
 
+# Nearest rows of every vector whose id is divisible by 100, among all vectors.
+NEAREST = """
+v as (select vec_id, embedding::double[] as x from embeddings),
+n as (select q.vec_id as query_id, v.vec_id as chunk_id, round(list_inner_product(q.x, v.x) / (sqrt(list_inner_product(q.x, q.x)) * sqrt(list_inner_product(v.x, v.x))), 9) as sim
+  from v q, v where q.vec_id % 100 = 0),
+r as (select *, row_number() over (partition by query_id order by sim desc, chunk_id) as rank from n)"""
+
+
+def _indexed(spark, folder, whole=False):
+    """Index over all vectors, the asked vectors and what is found: with all lists probed, or with the usual number."""
+    rows = S.vectors(spark, folder)
+    index = vector_index.build(rows, "chunk_id", "embedding", f"{scratch_folder(spark)}/vector_index")
+    asked = rows.where("chunk_id % 100 = 0").select(F.col("chunk_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+    names = "query_id", "query_vector", 10
+    probes = index.lists if whole else vector_index.probes_for(index, rows, "embedding", asked, *names)
+    found = vector_index.search(index, rows, "embedding", asked, *names, probes=probes)
+    return index, rows, asked, found
+
+
+@R.add("VEC-04_index_all_lists", f"with {NEAREST} select query_id, chunk_id, round_even(sim, 4) as similarity, rank from r where rank <= 10")
+def index_all_lists(spark, folder):
+    return _indexed(spark, folder, whole=True)[3].withColumn("similarity", rounded("similarity", 4))
+
+
+@R.add("VEC-04_index_probed")
+def index_probed(spark, folder):
+    """Approximate, so without SQL: tests measure its recall, and the next query asks for it."""
+    return _indexed(spark, folder)[3].withColumn("similarity", rounded("similarity", 4))
+
+
+@R.add("VEC-04_index_recall", """
+select count(*) as indexed, count(*) filter (vec_id % 100 = 0) as questions, true as reached from embeddings""")
+def index_recall(spark, folder):
+    """Rows in the index, questions, and whether nine in ten of the exact answers are found."""
+    index, rows, asked, found = _indexed(spark, folder)
+    exact = retrieve.dense_search(rows, asked, 10)
+    measured = vector_index.recall(found, exact, "query_id", "chunk_id")
+    stored = spark.read.parquet(index.path).agg(F.count(F.lit(1)).alias("indexed"))
+    return stored.join(measured.select("questions", (F.col("recall") >= 0.9).alias("reached")), F.lit(True))
+
+
 @R.add("VEC-03_cosine", f"with {CENTROIDS} select vec_id, round_even(sim, 4) as similarity from s where q = label")
 def cosine(spark, folder):
     means = S.label_centroids(spark, folder).select(F.col("query_id").cast("int").alias("document_id"), "query_vector")
