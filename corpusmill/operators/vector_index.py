@@ -13,7 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -71,6 +71,11 @@ class VectorIndex:
     sizes: DataFrame
     item: str
     rows: int
+    schema: T.StructType
+
+    def table(self, spark: SparkSession) -> DataFrame:
+        """The coded rows: key, scale, code, list."""
+        return spark.read.schema(self.schema).parquet(self.path)
 
     @property
     def lists(self) -> int:
@@ -112,8 +117,8 @@ def build(rows: DataFrame, item: str, vector: str, path: str, lists: int | None
     # A list of many rows is spread over tasks and files.
     spread = F.pmod(F.xxhash64(item), F.lit(64)).cast("int")
     coded.repartition("list", spread).write.partitionBy("list").parquet(path)
-    sizes = spark.read.parquet(path).groupBy("list").agg(F.count("*").alias("n"))
-    return VectorIndex(path, centroids, sizes, item, n)
+    sizes = spark.read.schema(schema).parquet(path).groupBy("list").agg(F.count("*").alias("n"))
+    return VectorIndex(path, centroids, sizes, item, n, schema)
 
 
 def _probes(index: VectorIndex, questions: DataFrame, question: str, vector: str, probes: int) -> DataFrame:
@@ -152,7 +157,7 @@ def search(index: VectorIndex, rows: DataFrame, vector: str, questions: DataFram
     )
     # One row a list, of which there are MAX_LISTS at most.
     per_list = F.broadcast(per_list)
-    coded = spark.read.parquet(index.path).join(per_list, "list").withColumn(
+    coded = index.table(spark).join(per_list, "list").withColumn(
         "row_lane", F.pmod(F.xxhash64(index.item), F.col("row_lanes")).cast("int")
     ).withColumn("question_lane", F.explode(F.sequence(F.lit(0), F.col("question_lanes") - 1)))
     dealt = asked.join(per_list, "list").withColumn(
@@ -202,7 +207,7 @@ def probes_for(index: VectorIndex, rows: DataFrame, vector: str, questions: Data
     """
     some = questions.select(F.col(question).alias("_q"), F.col(query_vector).alias("query_vector")).orderBy(F.xxhash64("_q"), "_q").limit(sample)
     exact = dense_search(rows.select(F.col(index.item).alias("chunk_id"), F.col(vector).alias("embedding")), some.select(F.col("_q").alias("query_id"), "query_vector"), k)
-    lists = rows.sparkSession.read.parquet(index.path).select(F.col(index.item).alias("chunk_id"), "list")
+    lists = index.table(rows.sparkSession).select(F.col(index.item).alias("chunk_id"), "list")
     seen = _probes(index, some, "_q", "query_vector", index.lists).select(F.col("_q").alias("query_id"), "list", "place")
     places = exact.join(lists, "chunk_id").join(seen, ["query_id", "list"]).groupBy("place").count().orderBy("place").collect()
     wanted, held = share * sum(r["count"] for r in places), 0

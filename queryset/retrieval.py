@@ -78,7 +78,7 @@ def index_recall(spark, folder):
     index, rows, asked, found = _indexed(spark, folder)
     exact = retrieve.dense_search(rows, asked, 10)
     measured = vector_index.recall(found, exact, "query_id", "chunk_id")
-    stored = spark.read.parquet(index.path).agg(F.count(F.lit(1)).alias("indexed"))
+    stored = index.table(spark).agg(F.count(F.lit(1)).alias("indexed"))
     return stored.join(measured.select("questions", (F.col("recall") >= 0.9).alias("reached")), F.lit(True))
 
 

@@ -27,7 +27,7 @@ def _exact(rows, asked, k):
 def _search(spark, rows, asked, k, lists=None, **options):
     table = _table(spark, rows)
     index = vector_index.build(table, "id", "v", f"{scratch_folder(spark)}/index", lists=lists)
-    assert spark.read.parquet(index.path).count() == len(rows) == index.rows
+    assert index.table(spark).count() == len(rows) == index.rows
     questions = _table(spark, asked).select(F.col("id").alias("q"), F.col("v").alias("x"))
     found = vector_index.search(index, table, "v", questions, "q", "x", k, **options)
     out = {}
