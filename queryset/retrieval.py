@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from corpusmill.functions import vectors
-from corpusmill.functions.text import rounded, tokens
-from corpusmill.operators import catalog, filters, ranking, retrieve, vector_index
+from corpusmill.functions.text import TOKEN_PATTERN, rounded, tokens
+from corpusmill.operators import catalog, filters, ranking, retrieve, text_index, vector_index
 from corpusmill.session import fan_out, scratch_folder
 from corpusmill.sources import tables as S
 
@@ -185,6 +185,46 @@ def all_terms(spark, folder):
     return retrieve.all_terms_search(S.searchable(spark, folder), S.questions(spark, folder), terms=8)
 
 
+# Covers of the first eight words: for each occurrence the latest place of every word gives the shortest stretch that ends
+# there; one that begins where an earlier one began holds it and is no cover.
+COVERS = """
+pl as (select doc_id as c, unnest(ws) as term, unnest(range(len(ws))) as p
+  from (select doc_id, regexp_extract_all(lower(text), '%s') as ws from documents)),
+hw as (select kw.q, c, term, p from kw join pl using (term)),
+al as (select q, c from hw join qc using (q) group by q, c, need having count(distinct term) = need),
+oc as (select hw.* from hw join al using (q, c)),
+la as (select a.q, a.c, a.p as e, b.term, max(b.p) as last from oc a join oc b on a.q = b.q and a.c = b.c and b.p <= a.p group by all),
+st as (select q, c, e, min(last) as s from la join qc using (q) group by q, c, e, need having count(*) = need),
+cv as (select q, c, s, min(e) as e from st group by all),
+cn as (select cv.q, cv.c, cv.s, cv.e, count(*) as inside from cv join oc on oc.q = cv.q and oc.c = cv.c and oc.p between cv.s and cv.e group by all),
+cr as (select q, c, round(sum(0.1::double / (1 + e - s + 1 - inside)), 9) as score from cn group by q, c),
+cd as (select *, row_number() over (partition by q order by score desc, c) as rank from cr)""" % TOKEN_PATTERN
+
+
+def _text_index(spark, folder):
+    documents = S.documents(spark, folder).select(F.col("document_id").alias("chunk_id"), "text")
+    return text_index.build(documents, "chunk_id", "text", f"{scratch_folder(spark)}/text_index")
+
+
+@R.add("VEC-05_cover_density", f"""
+with {FIRST_TERMS}, kw as (select q, term from qn where pos <= 8), qc as (select q, count(*) as need from kw group by q), {COVERS}
+select q as query_id, c as chunk_id, score, rank from cd where rank <= 30""")
+def cover_density(spark, folder):
+    return text_index.cover_search(_text_index(spark, folder), retrieve._keywords(S.questions(spark, folder), 8), "query_id", "t")
+
+
+@R.add("VEC-06_indexed_candidates", f"""
+with {FIRST_TERMS}, kw as (select q, term from qn where pos <= 8), qc as (select q, count(*) as need from kw group by q), {COVERS},
+kc as (select kw.q, d.doc_id as c, count(*) as matches from kw, documents d where strpos(lower(d.text), kw.term) > 0 group by all),
+kr as (select *, row_number() over (partition by q order by matches desc, c) as rank from kc)
+select q as query_id, c as chunk_id, max(matches)::double as raw_matches from (
+  select q, c, matches from kr where rank <= 30 union all select q, c, need from cd join qc using (q) where rank <= 30) group by all""")
+def indexed_candidates(spark, folder):
+    """Best documents by words contained, and by cover density of those that hold all words."""
+    index, asked = _text_index(spark, folder), retrieve._keywords(S.questions(spark, folder), 8)
+    return text_index.keyword_candidates(index, asked, "query_id", "t").withColumnRenamed("n", "raw_matches")
+
+
 @R.add("STR-07_distinct_embeddings", f"""
 with t as (select distinct text, min(doc_id) over (partition by text) as first_id from documents),
 {sql_hash_vectors('v', 't', 'first_id', 'text')}
