@@ -12,7 +12,7 @@ from corpusmill.session import fan_out
 from corpusmill.sources import files
 from corpusmill.sources.tables import documents, table
 
-from .common import Registry, SQL_SPACE, by_id, quoted, sql_strip, sql_tokens
+from .common import Registry, SQL_SPACE, by_id, quoted, sql_chunks, sql_strip, sql_tokens
 
 R = Registry()
 QUERIES, ORACLES = R.queries, R.oracles
@@ -322,12 +322,42 @@ def records(spark, folder):
     return rows.select("event_id", "k")
 
 
-@R.add("TXT-02_chunks")
+# Texts that hold what the walk must see: a table of five rows at a place that differs by document, and its own words around it.
+TABLE_ROWS = "| name | amount | remark |\n"
+
+
+def tabled_documents(spark, folder):
+    cut = F.col("document_id") % 1500 + 60
+    parts = F.substring("text", F.lit(1), cut), F.lit("\n" + TABLE_ROWS * 5), F.substring("text", cut + 1, F.length("text"))
+    return documents(spark, folder).withColumn("text", F.concat(*parts))
+
+
+TABLED = DOCS.replace(
+    "from documents", f"from (select doc_id, source, lang, left(text, doc_id % 1500 + 60) || '{chr(10)}{TABLE_ROWS * 5}' || substr(text, doc_id % 1500 + 61) as text from documents)")
+
+
+@R.add("TXT-02_table_chunks", f"""
+with recursive src as (select doc_id as id, norm as t from ({TABLED})), {sql_chunks('ch', 'src', 400, 60)}
+select id as document_id, chunk_index, text, char_start, char_end from ch""")
+def table_chunks(spark, folder):
+    """Chunks of texts with a table inside, many of which would end inside a row."""
+    return chunking.explode_chunks(tabled_documents(spark, folder), chunking.chunk_array("text", 400, 60), ["document_id"]).drop("parent_index", "parent_text")
+
+
+@R.add("TXT-02_chunks", f"""
+with recursive src as (select doc_id as id, norm as t from ({DOCS})), {sql_chunks('ch', 'src', 1600, 240)}
+select id as document_id, chunk_index, text, char_start, char_end from ch""")
 def chunks(spark, folder):
     return chunking.explode_chunks(documents(spark, folder), chunking.chunk_array("text"), ["document_id"]).drop("parent_index", "parent_text")
 
 
-@R.add("TXT-03_parent_child")
+@R.add("TXT-03_parent_child", f"""
+with recursive src as (select doc_id as id, norm as t from ({DOCS})), {sql_chunks('pa', 'src', 1200, 120)},
+sub as (select id * 1000000 + chunk_index as id, text as t from pa), {sql_chunks('ch', 'sub', 280, 40)}
+select pa.id as document_id, row_number() over (partition by pa.id order by pa.chunk_index, ch.chunk_index) - 1 as chunk_index, ch.text,
+  pa.char_start + ch.char_start as char_start, least(pa.char_end, pa.char_start + ch.char_end) as char_end,
+  pa.chunk_index as parent_index, pa.text as parent_text
+from pa join ch on ch.id = pa.id * 1000000 + pa.chunk_index""")
 def parent_child(spark, folder):
     return chunking.explode_chunks(documents(spark, folder), chunking.parent_child_array("text"), ["document_id"])
 
@@ -458,7 +488,11 @@ def ingest_documents(spark, folder):
     return docs.select("source_name", "project_name", "content_hash", "document_id")
 
 
-@R.add("PLAN_ingest_chunks")
+@R.add("PLAN_ingest_chunks", f"""
+with recursive n as (select doc_id, source, lang, {sql_strip("regexp_replace(regexp_replace(mk, '[ \t]+" + chr(92) + "n', chr(10), 'g'), '" + chr(92) + "n{3,}', chr(10) || chr(10), 'g')")} as norm from (select *, {MASK_SQL} as mk from documents)),
+h as (select min(doc_id) as doc_id from n where norm <> '' group by source, lang, norm),
+src as (select doc_id as id, norm as t from n semi join h using (doc_id)), {sql_chunks('ch', 'src', 1600, 240)}
+select id || ':' || chunk_index as chunk_id, id as document_id, chunk_index, text as content, char_start, char_end from ch""")
 def ingest_chunks(spark, folder):
     _docs, parts = ingest.ingest(documents(spark, folder), dim=64)
     return parts.select("chunk_id", "document_id", "chunk_index", "content", "char_start", "char_end")
