@@ -75,21 +75,3 @@ def drop_orphans(chunks: DataFrame, documents: DataFrame) -> DataFrame:
 def cache_scope(filter_key: Column, generation: Column) -> Column:
     """Key of a cache scope; raising the generation on every ingestion or deletion empties it."""
     return F.concat_ws(":", generation.cast("string"), F.sha2(filter_key, 256))
-
-
-def cached_answer(cache: DataFrame, lookups: DataFrame, similarity, now: Column, ttl_seconds: int = 1800,
-                  threshold: float = 0.95, lanes: int = 16) -> DataFrame:
-    """Newest cached response of the same filter key within the time limit and similar enough; of equally new ones the largest.
-
-    cache(filter_key, embedding, response, stored_at), lookups(lookup_id, filter_key, embedding).
-    One filter key may hold most entries and most lookups: entries are dealt into ``lanes``
-    parts of their key, each lookup visits every part, and only its newest hit of each part
-    is brought together.
-    """
-    live = cache.where(F.unix_timestamp(now) - F.unix_timestamp("stored_at") <= ttl_seconds).withColumn(
-        "__lane", F.pmod(F.xxhash64("stored_at", "response"), F.lit(lanes)))
-    asked = lookups.select("lookup_id", "filter_key", F.col("embedding").alias("asked")).withColumn(
-        "__lane", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(lanes - 1).cast("bigint"))))
-    near = asked.join(live, ["filter_key", "__lane"]).where(similarity(F.col("asked"), F.col("embedding")) >= threshold)
-    newest = near.groupBy("lookup_id").agg(F.max(F.struct("stored_at", "response")).alias("hit"))
-    return newest.select("lookup_id", "hit.response")

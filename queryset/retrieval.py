@@ -7,7 +7,7 @@ from pyspark.sql.window import Window
 
 from corpusmill.functions import vectors
 from corpusmill.functions.text import TOKEN_PATTERN, rounded, tokens
-from corpusmill.operators import catalog, filters, ranking, retrieve, text_index, vector_index
+from corpusmill.operators import answer_cache, catalog, filters, ranking, retrieve, text_index, vector_index
 from corpusmill.session import fan_out, scratch_folder
 from corpusmill.sources import tables as S
 
@@ -110,8 +110,7 @@ def cache_lookup(spark, folder):
         F.col("document_id").cast("string").alias("filter_key"), "embedding", F.col("chunk_id").alias("response"), stored.alias("stored_at"))
     lookups = S.label_centroids(spark, folder).select(
         F.col("query_id").alias("lookup_id"), F.col("query_id").cast("string").alias("filter_key"), F.col("query_vector").alias("embedding"))
-    similarity = lambda a, b: F.round(vectors.cosine(a, b), 9)
-    return catalog.cached_answer(cache, lookups, similarity, now, 1800, 0.2).withColumnRenamed("lookup_id", "query_id")
+    return answer_cache.newest_answers(cache, lookups, now, 1800, 0.2).withColumnRenamed("lookup_id", "query_id")
 
 
 # Hash-embedded questions against hash-embedded documents.

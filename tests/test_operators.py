@@ -261,17 +261,6 @@ def test_subqueries():
     assert plan_subqueries("한빛초 그리고 샘물중 예산 비교", lambda _q: invented).strategy == "fallback"
 
 
-def test_cache_of_one_scope(spark):
-    """All entries and lookups share one filter key; the newest near entry wins."""
-    rows = [("k", [1.0, float(i % 5)], f"r{i}", i) for i in range(400)]
-    cache = spark.createDataFrame(rows, "filter_key string, embedding array<double>, response string, s bigint").withColumn(
-        "stored_at", F.timestamp_seconds(F.col("s"))).drop("s")
-    lookups = spark.createDataFrame([(i, "k", [1.0, float(i)]) for i in range(5)] + [(9, "other", [1.0, 0.0])], "lookup_id bigint, filter_key string, embedding array<double>")
-    same = lambda a, b: (a == b).cast("double")
-    found = catalog.cached_answer(cache, lookups, same, F.timestamp_seconds(F.lit(500)), ttl_seconds=450)
-    assert {r.lookup_id: r.response for r in found.collect()} == {i: f"r{395 + i}" for i in range(5)}
-
-
 def test_empty_questions_in_every_search(corpus):
     _texts, _asked, chunks, queries = corpus
     none = queries.where("false")
