@@ -47,15 +47,12 @@ def to_chunks(prepared: DataFrame, settings: Settings, dim: int, embed=None) ->
         pieces = chunking.chunk_array("content", settings.chunk_size, settings.chunk_overlap)
     scope = [c for c in ("department", "security_level") if c in prepared.columns]
     keep = ["document_id", "source_name", "project_name", "quality_score", *scope]
-    work = prepared.withColumn("__pieces", pieces)
+    rows = prepared.select(*keep, F.inline(pieces))
     if settings.contextual_retrieval:
-        starts = F.transform("__pieces", lambda c: c["char_start"])
-        work = work.withColumn("__paths", context.section_path_array(F.col("content"), starts))
-        joined = F.arrays_zip(F.col("__pieces").alias("piece"), F.col("__paths").alias("section_path"))
-        rows = work.select(*keep, F.explode(joined).alias("z")).select(*keep, "z.piece.*", "z.section_path")
+        rows = context.with_section_paths(rows, "char_start", prepared, "document_id", "content")
         embedded = context.embedding_input("text", F.col("source_name"), F.col("section_path"), F.lit(None).cast("string"))
     else:
-        rows = work.select(*keep, F.inline("__pieces")).withColumn("section_path", F.lit(None).cast("string"))
+        rows = rows.withColumn("section_path", F.lit(None).cast("string"))
         embedded = F.col("text")
     return rows.withColumn("embedding", embed(embedded)).select(
         F.concat_ws(":", F.col("document_id").cast("string"), F.col("chunk_index").cast("string")).alias("chunk_id"),

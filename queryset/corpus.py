@@ -377,11 +377,41 @@ def context_prefix(spark, folder):
         F.col("document_id").alias("doc_id"), context.context_prefix(F.col("source_name"), path, F.lit(None).cast("string")).alias("prefix"))
 
 
-@R.add("TXT-13_headings")
+# Headings of every shape put before every second line, chosen by the document and the line.
+HEADS = ["# Whole work #", "## First aims", "### Notes and aims", "2.1 Second part", "제 3 장 총칙", "제4조(목적) 이 규정", "가. 세부 사항", "1) list item",
+         "1.2.3.4.5 deep down", "#### Deep", "제 2 절", "#no heading"]
+
+
+def headed_documents(spark, folder):
+    head = lambda i: F.element_at(F.array(*map(F.lit, HEADS)), ((F.col("document_id") + i * i) % len(HEADS) + 1).cast("int"))
+    lines = F.transform(F.split("text", "\n"), lambda x, i: F.when(i % 2 == 0, F.concat(head(i), F.lit("\n"), x)).otherwise(x))
+    return documents(spark, folder).withColumn("text", F.array_join(lines, "\n"))
+
+
+HEADED = DOCS.replace("from documents", f"""from (select doc_id, source, lang, array_to_string(list_transform(string_split(text, chr(10)), lambda x, i:
+  case when i % 2 = 1 then ({quoted(HEADS)}[((doc_id + (i - 1) * (i - 1)) % {len(HEADS)} + 1)::int]) || chr(10) || x else x end), chr(10)) as text from documents)""")
+
+
+@R.add("TXT-13_headings", rf"""
+with recursive src as (select doc_id as id, norm as t from ({HEADED})), {sql_chunks('ch', 'src', 400, 60)},
+li as (select id, i, {sql_strip('x')} as x, coalesce(sum(length(x) + 1) over (partition by id order by i rows between unbounded preceding and 1 preceding), 0) as b
+  from (select id, unnest(ps) as x, generate_subscripts(ps, 1) as i from (select id, string_split(t, chr(10)) as ps from src))),
+lv as (select id, b, x, case when regexp_full_match(x, '#{{1,4}}\s+.+') then length(regexp_extract(x, '^#+'))
+  when regexp_full_match(x, '\d+([.]\d+)*[.)]?\s+.{{2,120}}') then least(4, 1 + length(regexp_replace(regexp_extract(x, '^\d+([.]\d+)*'), '[^.]', '', 'g')))
+  when regexp_full_match(x, '제\s*\d+\s*장(\s+.+)?') then 1 when regexp_full_match(x, '제\s*\d+\s*절(\s+.+)?') then 2
+  when regexp_full_match(x, '제\s*\d+\s*조([(][^)]*[)])?(\s+.+)?') then 3 when regexp_full_match(x, '[가-하][.)]\s+.{{2,120}}') then 4 end as level from li),
+hd as (select id, b, level, rtrim(left(regexp_replace(regexp_replace(regexp_replace(x, '^#+\s+', ''), case when x[1] = '#' then '\s*#*\s*$' else '$' end, ''), '\s+', ' ', 'g'), 120)) as label
+  from lv where level is not null),
+cl as (select h.id, h.b, h.level, any_value(h.label) as label, min(later.b) as closed from hd h left join hd later on later.id = h.id and later.b > h.b and later.level <= h.level group by all),
+pa as (select ch.id, chunk_index, rtrim(left(string_agg(label, ' > ' order by b), 280)) as section_path
+  from ch join cl on cl.id = ch.id and b <= char_start and (closed is null or closed > char_start) group by all)
+select ch.id as document_id, ch.chunk_index, section_path from ch left join pa on pa.id = ch.id and pa.chunk_index = ch.chunk_index""")
 def headings(spark, folder):
-    parts = documents(spark, folder).select("document_id", text.normalize_text("text").alias("t"), chunking.chunk_array("text").alias("c"))
-    starts = F.transform("c", lambda c: c["char_start"])
-    return parts.select("document_id", F.posexplode(context.section_path_array(F.col("t"), starts)).alias("chunk_index", "section_path"))
+    """Headings open at the start of every chunk, for texts that hold headings of every shape."""
+    docs = headed_documents(spark, folder)
+    parts = chunking.explode_chunks(docs, chunking.chunk_array("text", 400, 60), ["document_id"]).select("document_id", "chunk_index", "char_start")
+    texts = docs.select("document_id", text.normalize_text("text").alias("t"))
+    return context.with_section_paths(parts, "char_start", texts, "document_id", "t").drop("char_start")
 
 
 @R.add("JOIN-02_chunk_counts", """

@@ -102,12 +102,9 @@ def test_parent_child_offsets(spark):
     assert all(normal[r["char_start"] : r["char_end"]] == r["text"] and r["text"] in r["parent_text"] for r in rows)
 
 
-def test_chunk_header_and_section_path():
+def test_chunk_header():
     source = "# 제목\n본문\n## 소제목\n" + "내용 문장. " * 60
     assert chunking.split_text(source, 100, 10, header=True)[-1][0].startswith("[문맥: ## 소제목]\n")
-    assert context.section_paths(source, [0, len(source) - 1]) == ["제목", "제목 > 소제목"]
-    assert context.heading_of("제 2 장 총칙") == (1, "제 2 장 총칙") and context.heading_of("1.2.3 목적 및 범위")[0] == 3
-    assert context.heading_of("그냥 문장") is None
 
 
 def test_context_prefix_keeps_limits(spark):
