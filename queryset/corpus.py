@@ -377,6 +377,26 @@ def context_prefix(spark, folder):
         F.col("document_id").alias("doc_id"), context.context_prefix(F.col("source_name"), path, F.lit(None).cast("string")).alias("prefix"))
 
 
+def sql_line(value: str, limit: int) -> str:
+    return rf"trim(left(trim(regexp_replace(left({value}, {limit * 4}), '[\pC\s]+', ' ', 'g')), {limit}))"
+
+
+# Titles, labels and summaries that reach every limit, and blank ones.
+@R.add("TXT-12_bounded_prefix", rf"""
+with p as (select doc_id, {sql_line("repeat(source || chr(9), (doc_id % 40)::int)", 120)} as title, {sql_line('repeat(source, (doc_id % 50)::int)', 120)} as label,
+  {sql_line("case when doc_id % 3 > 0 then text end", 320)} as summary, lang from documents),
+q as (select *, {sql_line("array_to_string(list_filter([lang, label, ' ', label, label], lambda x: trim(x) <> ''), ' > ')", 280)} as path from p)
+select doc_id, concat_ws(chr(10), case when title <> '' then '문서 제목: ' || title end, case when path <> '' then '섹션 경로: ' || path end,
+  case when summary <> '' then '문서 요약: ' || summary end) as prefix from q""")
+def bounded_prefix(spark, folder):
+    again = lambda c, n: F.repeat(c, (F.col("document_id") % n).cast("int"))
+    label = again(F.col("source_name"), 50)
+    path = context.metadata_section_path(F.array(F.col("project_name"), label, F.lit(" "), label, label))
+    title = again(F.concat("source_name", F.lit("\t")), 40)
+    summary = F.when(F.col("document_id") % 3 > 0, F.col("text"))
+    return documents(spark, folder).select(F.col("document_id").alias("doc_id"), context.context_prefix(title, path, summary).alias("prefix"))
+
+
 # Headings of every shape put before every second line, chosen by the document and the line.
 HEADS = ["# Whole work #", "## First aims", "### Notes and aims", "2.1 Second part", "제 3 장 총칙", "제4조(목적) 이 규정", "가. 세부 사항", "1) list item",
          "1.2.3.4.5 deep down", "#### Deep", "제 2 절", "#no heading"]
