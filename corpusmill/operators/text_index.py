@@ -1,7 +1,8 @@
 """A text index: words with their places, and runs of letters that can be searched for any part of them.
 
 Chunks are dealt into lanes of bounded size. A posting is one word in one lane, with the chunks and places that hold it, so a frequent
-word is many rows of bounded length. Postings are written by buckets of words: a search reads the buckets of its words, brings
+word is many rows of bounded length. Building moves each text once, to its lane, where all its postings are made; no row is shuffled for a
+word and place. Postings are written by buckets of words: a search reads the buckets of its words, brings
 the postings of a lane together and gives out the best few chunks of each question and lane. What travels is the postings of the asked words, once for
 a block of questions, and lanes x questions x k results; no row holds a question and a chunk beside these.
 """
@@ -37,8 +38,8 @@ PAIRS, TRIPLES = "(?=(..))", "(?=(...))"
 class TextIndex:
     """Where the tables lie, the name and type of the chunk key, and the numbers of lanes and buckets.
 
-    ``words``: term, lane, items, places; ``held``: run key, lane, items; ``runs``: run key, run; ``grams``: gram, run key. All by bucket
-    of their first column.
+    ``words``: term, lane, items, how many places each has, places one item after the other; ``held``: run key, lane, items, the run where it is
+    not its own key; ``runs``: run key, run; ``grams``: gram, run key. All by bucket of their first column.
     """
 
     path: str
@@ -62,7 +63,8 @@ class TextIndex:
     def table(self, spark: SparkSession, name: str) -> DataFrame:
         item = self.item.dataType.simpleString()
         columns = {
-            "words": f"term string, lane bigint, items array<{item}>, places array<int>", "held": f"key string, lane bigint, items array<{item}>",
+            "words": f"term string, lane bigint, items array<{item}>, counts array<int>, places array<int>",
+            "held": f"key string, lane bigint, items array<{item}>, run string",
             "runs": "key string, run string", "grams": "gram string, key string",
         }
         return spark.read.schema(f"{columns[name]}, bucket int").parquet(f"{self.path}/{name}")
@@ -85,30 +87,56 @@ class TextIndex:
         return likely.join(self.table(spark, "runs"), "key").where(F.contains("run", "word")).select("word", "key")
 
 
-def build(chunks: DataFrame, item: str, content: str, path: str, lane_bytes: int = LANE_BYTES) -> TextIndex:
-    """Index the words of every text in new tables at ``path``.
+def _lane_postings(table: pa.Table) -> pa.Table:
+    """One row a term of the (lane, item, terms) rows of a lane: its items in order, how often each holds it, and where."""
+    table = table.sort_by(table.column_names[1]).combine_chunks()
+    lane, items, terms = (c.combine_chunks() for c in table.columns)
+    listed, lengths = terms.flatten().dictionary_encode(), np.asarray(terms.value_lengths())
+    item = np.repeat(np.asarray(items.dictionary_encode().indices), lengths)
+    place = (np.arange(len(item)) - np.repeat(np.cumsum(lengths) - lengths, lengths)).astype(np.int32)
+    term = np.asarray(listed.indices)
+    order = np.lexsort((place, item, term))
+    term, item = term[order], item[order]
+    first = np.flatnonzero((np.diff(term, prepend=-1) != 0) | (np.diff(item, prepend=-1) != 0))
+    edges = lambda sorted_terms: pa.array(np.searchsorted(sorted_terms, np.arange(len(listed.dictionary) + 1)).astype(np.int32))
+    within, counts = edges(term[first]), np.diff(first, append=len(item)).astype(np.int32)
+    lists = (within, items.dictionary_encode().dictionary.take(pa.array(item[first]))), (within, pa.array(counts)), (edges(term), pa.array(place[order]))
+    lanes = pa.array(np.full(len(listed.dictionary), lane[0].as_py(), np.int64))
+    return pa.table([listed.dictionary, lanes, *(pa.ListArray.from_arrays(*x) for x in lists)], names=["term", "lane", "items", "counts", "places"])
+
+
+def _postings(rows: DataFrame, index: TextIndex, pattern: str) -> DataFrame:
+    """(term, lane, items, counts, places) of what ``pattern`` finds; texts move to their lanes before words are cut."""
+    found = F.regexp_extract_all("content", F.lit(pattern), F.lit(0)).alias("terms")
+    item = index.item.dataType.simpleString()
+    schema = f"term string, lane bigint, items array<{item}>, counts array<int>, places array<int>"
+    return rows.repartition("lane").select("lane", index.item.name, found).groupBy("lane").applyInArrow(_lane_postings, schema)
+
+
+def build(chunks: DataFrame, item: str, content: str, path: str, lane_bytes: int = LANE_BYTES, parts: bool = True) -> TextIndex:
+    """Index the words of every text in new tables at ``path``; without ``parts`` for ``cover_search`` alone.
 
     Chunks without a key or a text are not indexed. Keys should be unique: chunks of one key count as one text. Words are those of
-    ``functions.text.tokens`` and count places among all words, stop words and single letters included.
+    ``functions.text.tokens`` and count places among all words, stop words and single letters included. A task holds the words of
+    one lane: ``lane_bytes`` of text, or its longest text.
     """
     rows = chunks.where(F.col(item).isNotNull() & F.col(content).isNotNull()).select(F.col(item), F.lower(content).alias("content"))
     size = rows.agg(F.sum(F.octet_length("content").cast("bigint"))).first()[0] or 0
     lanes = max(1, math.ceil(size / lane_bytes))
     index = TextIndex(path, rows.schema[item], lanes, min(MANY_BUCKETS, FEW_BUCKETS * lanes))
     rows = rows.withColumn("lane", F.pmod(F.xxhash64(item), F.lit(index.lanes)))
-
-    words = rows.select("lane", F.col(item), F.posexplode(F.regexp_extract_all("content", F.lit(TOKEN_PATTERN), F.lit(0))).alias("place", "term"))
-    listed = words.groupBy("term", "lane").agg(F.sort_array(F.collect_list(F.struct(item, "place"))).alias("held"))
-    index._write(listed.select("term", "lane", F.col(f"held.{item}").alias("items"), F.col("held.place").alias("places")), "term", "words")
-
-    found = F.array_distinct(F.regexp_extract_all("content", F.lit(scan.KeywordScorer.RUN), F.lit(0)))
-    keyed = F.when(F.length("run") <= KEY_LENGTH, F.col("run")).otherwise(F.sha2("run", 256))
-    runs = rows.select("lane", F.col(item), F.explode(found).alias("run")).withColumn("key", keyed)
-    index._write(runs.groupBy("key", "lane").agg(F.sort_array(F.collect_set(item)).alias("items")), "key", "held")
-    index._write(runs.groupBy("key").agg(F.min("run").alias("run")), "key", "runs")
-    stored = index.table(rows.sparkSession, "runs")
+    index._write(_postings(rows, index, TOKEN_PATTERN), "term", "words")
+    if not parts:
+        return index
+
+    short = F.length("term") <= KEY_LENGTH
+    keys = F.when(short, F.col("term")).otherwise(F.sha2("term", 256)).alias("key")
+    held = _postings(rows, index, scan.KeywordScorer.RUN).select(keys, "lane", "items", F.when(~short, F.col("term")).alias("run"))
+    index._write(held, "key", "held")
+    written = index.table(rows.sparkSession, "held").groupBy("key").agg(F.min("run").alias("run"))
+    index._write(written.select("key", F.coalesce("run", "key").alias("run")), "key", "runs")
     grams = F.array_distinct(F.concat(*[F.regexp_extract_all("run", F.lit(p), F.lit(1)) for p in (PAIRS, TRIPLES)]))
-    index._write(stored.select(F.explode(grams).alias("gram"), "key"), "gram", "grams")
+    index._write(index.table(rows.sparkSession, "runs").select(F.explode(grams).alias("gram"), "key"), "gram", "grams")
     return index
 
 
@@ -150,7 +178,7 @@ def _best(items: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np
 
 def _by_cover(table: pa.Table, terms: list[list[str]]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """For each question whose words are all in the lane: the chunks holding all of them and their rank."""
-    items, places = _lists(table.column("items")), _lists(table.column("places"))
+    items, times, places = (_lists(table.column(c)) for c in ("items", "counts", "places"))
     row = {t: i for i, t in enumerate(table.column("term").to_pylist())}
     for q, asked in enumerate(terms):
         if not asked or any(t not in row for t in asked):
@@ -159,10 +187,8 @@ def _by_cover(table: pa.Table, terms: list[list[str]]) -> Iterator[tuple[int, np
         common = reduce(lambda kept, r: np.intersect1d(kept, items[r]), sorted(rows, key=lambda r: len(items[r])), items[rows[0]])
         if len(common):
             inside = [np.isin(items[r], common) for r in rows]
-            counts = [int(i.sum()) for i in inside]
-            yield q, *covers(
-                np.concatenate([items[r][i] for r, i in zip(rows, inside)]), np.concatenate([places[r][i] for r, i in zip(rows, inside)]),
-                np.repeat(np.arange(len(rows)), counts), len(rows))
+            kept = [(items[r][i].repeat(times[r][i]), places[r][i.repeat(times[r])]) for r, i in zip(rows, inside)]
+            yield q, *covers(*(np.concatenate(x) for x in zip(*kept)), np.repeat(np.arange(len(rows)), [len(p) for _, p in kept]), len(rows))
 
 
 def _by_count(table: pa.Table, terms: list[list[str]]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -218,7 +244,7 @@ def part_search(index: TextIndex, queries: DataFrame, query_id: str, terms: str,
     """
 
     def read(spark: SparkSession, words: list[str]) -> DataFrame:
-        return index.table(spark, "held").join(index.runs_holding(spark, words), "key").select("lane", "word", "items")
+        return index.table(spark, "held").drop("run").join(index.runs_holding(spark, words), "key").select("lane", "word", "items")
 
     return _search(index, queries, query_id, terms, k, max_queries, read, _by_count)
 

@@ -200,16 +200,16 @@ cr as (select q, c, round(sum(0.1::double / (1 + e - s + 1 - inside)), 9) as sco
 cd as (select *, row_number() over (partition by q order by score desc, c) as rank from cr)""" % TOKEN_PATTERN
 
 
-def _text_index(spark, folder):
+def _text_index(spark, folder, parts=True):
     documents = S.documents(spark, folder).select(F.col("document_id").alias("chunk_id"), "text")
-    return text_index.build(documents, "chunk_id", "text", f"{scratch_folder(spark)}/text_index")
+    return text_index.build(documents, "chunk_id", "text", f"{scratch_folder(spark)}/text_index", parts=parts)
 
 
 @R.add("VEC-05_cover_density", f"""
 with {FIRST_TERMS}, kw as (select q, term from qn where pos <= 8), qc as (select q, count(*) as need from kw group by q), {COVERS}
 select q as query_id, c as chunk_id, score, rank from cd where rank <= 30""")
 def cover_density(spark, folder):
-    return text_index.cover_search(_text_index(spark, folder), retrieve._keywords(S.questions(spark, folder), 8), "query_id", "t")
+    return text_index.cover_search(_text_index(spark, folder, parts=False), retrieve._keywords(S.questions(spark, folder), 8), "query_id", "t")
 
 
 @R.add("VEC-06_indexed_candidates", f"""
