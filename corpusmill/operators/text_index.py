@@ -2,13 +2,14 @@
 
 Chunks are dealt into lanes of bounded size. A posting is one word in one lane, with the chunks and places that hold it, so a frequent
 word is many rows of bounded length. Building moves each text once, to its lane, where all its postings are made; no row is shuffled for a
-word and place. Postings are written by buckets of words: a search reads the buckets of its words, brings
+word and place, and postings travel to their buckets in packs. Postings are written by buckets of words: a search reads the buckets of its words, brings
 the postings of a lane together and gives out the best few chunks of each question and lane. What travels is the postings of the asked words, once for
 a block of questions, and lanes x questions x k results; no row holds a question and a chunk beside these.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 import zlib
 from collections.abc import Callable, Iterator
@@ -17,6 +18,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,6 +31,8 @@ from .ranking import top_k
 LANE_BYTES, FEW_BUCKETS, MANY_BUCKETS = 16 << 20, 4, 1024
 #: Fixed value: what a cover without words in between adds to the rank.
 COVER_WEIGHT = 0.1
+#: Occurrences, and sixteen for each term, in one pack.
+PACK = 1 << 16
 #: Runs up to this length are their own key, longer ones their digest.
 KEY_LENGTH = 32
 PAIRS, TRIPLES = "(?=(..))", "(?=(...))"
@@ -57,8 +61,10 @@ class TextIndex:
     def _write(self, df: DataFrame, first: str, name: str) -> None:
         """By bucket of the first column; the ranges of the tasks cut through buckets and through the lanes of a frequent word."""
         order = ["bucket", *df.columns[:2]]
-        placed = df.withColumn("bucket", self.bucket(F.col(first))).repartitionByRange(*order).sortWithinPartitions(*order)
-        placed.write.partitionBy("bucket").parquet(f"{self.path}/{name}")
+        self._write_placed(df.withColumn("bucket", self.bucket(F.col(first))).repartitionByRange(*order), order, name)
+
+    def _write_placed(self, df: DataFrame, order: list[str], name: str) -> None:
+        df.sortWithinPartitions(*order).write.partitionBy("bucket").parquet(f"{self.path}/{name}")
 
     def table(self, spark: SparkSession, name: str) -> DataFrame:
         item = self.item.dataType.simpleString()
@@ -87,30 +93,62 @@ class TextIndex:
         return likely.join(self.table(spark, "runs"), "key").where(F.contains("run", "word")).select("word", "key")
 
 
-def _lane_postings(table: pa.Table) -> pa.Table:
-    """One row a term of the (lane, item, terms) rows of a lane: its items in order, how often each holds it, and where."""
-    table = table.sort_by(table.column_names[1]).combine_chunks()
+def _key(term: str) -> str:
+    return term if len(term) <= KEY_LENGTH else hashlib.sha256(term.encode()).hexdigest()
+
+
+def _lane_postings(table: pa.Table, bucket_of: Callable[[str], int]) -> pa.Table:
+    """One row a term of the (lane, item, terms) rows of a lane, by bucket and term: its items in order, how often each holds it, and where."""
+    table = table.sort_by(table.column_names[1])
     lane, items, terms = (c.combine_chunks() for c in table.columns)
-    listed, lengths = terms.flatten().dictionary_encode(), np.asarray(terms.value_lengths())
-    item = np.repeat(np.asarray(items.dictionary_encode().indices), lengths)
+    listed, keys, lengths = terms.flatten().dictionary_encode(), items.dictionary_encode(), np.asarray(terms.value_lengths())
+    known = pa.table({"bucket": pa.array([bucket_of(t) for t in listed.dictionary.to_pylist()], pa.int32()), "term": listed.dictionary})
+    by_bucket = np.asarray(pc.sort_indices(known, [("bucket", "ascending"), ("term", "ascending")]))
+    term = np.argsort(by_bucket)[np.asarray(listed.indices)]
+    item = np.repeat(np.asarray(keys.indices), lengths)
     place = (np.arange(len(item)) - np.repeat(np.cumsum(lengths) - lengths, lengths)).astype(np.int32)
-    term = np.asarray(listed.indices)
     order = np.lexsort((place, item, term))
     term, item = term[order], item[order]
     first = np.flatnonzero((np.diff(term, prepend=-1) != 0) | (np.diff(item, prepend=-1) != 0))
-    edges = lambda sorted_terms: pa.array(np.searchsorted(sorted_terms, np.arange(len(listed.dictionary) + 1)).astype(np.int32))
+    edges = lambda sorted_terms: pa.array(np.searchsorted(sorted_terms, np.arange(known.num_rows + 1)).astype(np.int32))
     within, counts = edges(term[first]), np.diff(first, append=len(item)).astype(np.int32)
-    lists = (within, items.dictionary_encode().dictionary.take(pa.array(item[first]))), (within, pa.array(counts)), (edges(term), pa.array(place[order]))
-    lanes = pa.array(np.full(len(listed.dictionary), lane[0].as_py(), np.int64))
-    return pa.table([listed.dictionary, lanes, *(pa.ListArray.from_arrays(*x) for x in lists)], names=["term", "lane", "items", "counts", "places"])
+    lists = (within, keys.dictionary.take(pa.array(item[first]))), (within, pa.array(counts)), (edges(term), pa.array(place[order]))
+    known = known.take(pa.array(by_bucket)).append_column("lane", pa.array(np.full(known.num_rows, lane[0].as_py(), np.int64)))
+    for name, parts in zip(("items", "counts", "places"), lists):
+        known = known.append_column(name, pa.ListArray.from_arrays(*parts))
+    return known
+
+
+def _packed(postings: pa.Table) -> pa.Table:
+    """(bucket, term, lane, pack): postings of one bucket that stand together, under the first of their terms."""
+    bucket = np.asarray(postings.column("bucket"))
+    weight = np.cumsum(np.asarray(pc.list_value_length(postings.column("places")), dtype=np.int64) + 16) // PACK
+    starts = np.flatnonzero((np.diff(bucket, prepend=-1) != 0) | (np.diff(weight, prepend=-1) != 0))
+    packs = []
+    for a, b in zip(starts, [*starts[1:], len(bucket)]):
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, postings.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+            out.write_table(postings.slice(a, b - a))
+        packs.append(sink.getvalue().to_pybytes())
+    return postings.select(["bucket", "term", "lane"]).take(pa.array(starts)).append_column("pack", pa.array(packs, pa.binary()))
 
 
-def _postings(rows: DataFrame, index: TextIndex, pattern: str) -> DataFrame:
-    """(term, lane, items, counts, places) of what ``pattern`` finds; texts move to their lanes before words are cut."""
-    found = F.regexp_extract_all("content", F.lit(pattern), F.lit(0)).alias("terms")
-    item = index.item.dataType.simpleString()
-    schema = f"term string, lane bigint, items array<{item}>, counts array<int>, places array<int>"
-    return rows.repartition("lane").select("lane", index.item.name, found).groupBy("lane").applyInArrow(_lane_postings, schema)
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for pack in batch.column("pack"):
+            yield from pa.ipc.open_stream(pack.as_buffer())
+
+
+def _postings(rows: DataFrame, index: TextIndex, pattern: str, key: Callable[[str], str]) -> DataFrame:
+    """(bucket, term, lane, items, counts, places) of what ``pattern`` finds, ranges of buckets and terms in one partition.
+
+    Texts move to their lanes before words are cut, packs of postings to their ranges.
+    """
+    found, buckets, item = F.regexp_extract_all("content", F.lit(pattern), F.lit(0)).alias("terms"), index.buckets, index.item
+    words = rows.repartition("lane").select("lane", item.name, found).groupBy("lane")
+    task = lambda table: _packed(_lane_postings(table, lambda t: zlib.crc32(key(t).encode()) % buckets))
+    packs = words.applyInArrow(task, "bucket int, term string, lane bigint, pack binary").repartitionByRange("bucket", "term", "lane")
+    return packs.mapInArrow(_unpacked, f"bucket int, term string, lane bigint, items array<{item.dataType.simpleString()}>, counts array<int>, places array<int>")
 
 
 def build(chunks: DataFrame, item: str, content: str, path: str, lane_bytes: int = LANE_BYTES, parts: bool = True) -> TextIndex:
@@ -125,14 +163,14 @@ def build(chunks: DataFrame, item: str, content: str, path: str, lane_bytes: int
     lanes = max(1, math.ceil(size / lane_bytes))
     index = TextIndex(path, rows.schema[item], lanes, min(MANY_BUCKETS, FEW_BUCKETS * lanes))
     rows = rows.withColumn("lane", F.pmod(F.xxhash64(item), F.lit(index.lanes)))
-    index._write(_postings(rows, index, TOKEN_PATTERN), "term", "words")
+    index._write_placed(_postings(rows, index, TOKEN_PATTERN, str), ["bucket", "term", "lane"], "words")
     if not parts:
         return index
 
     short = F.length("term") <= KEY_LENGTH
     keys = F.when(short, F.col("term")).otherwise(F.sha2("term", 256)).alias("key")
-    held = _postings(rows, index, scan.KeywordScorer.RUN).select(keys, "lane", "items", F.when(~short, F.col("term")).alias("run"))
-    index._write(held, "key", "held")
+    held = _postings(rows, index, scan.KeywordScorer.RUN, _key).select("bucket", keys, "lane", "items", F.when(~short, F.col("term")).alias("run"))
+    index._write_placed(held, ["bucket", "key", "lane"], "held")
     written = index.table(rows.sparkSession, "held").groupBy("key").agg(F.min("run").alias("run"))
     index._write(written.select("key", F.coalesce("run", "key").alias("run")), "key", "runs")
     grams = F.array_distinct(F.concat(*[F.regexp_extract_all("run", F.lit(p), F.lit(1)) for p in (PAIRS, TRIPLES)]))
