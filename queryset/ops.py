@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from corpusmill.config import Settings
@@ -10,6 +11,7 @@ from corpusmill.functions.text import rounded
 from corpusmill.operators import catalog, filters, profile, ranking, samples, telemetry
 from corpusmill.plans import answer
 from corpusmill.session import fan_out, scratch_folder
+from corpusmill.sources import store
 from corpusmill.sources import tables as S
 from corpusmill.streaming import cache, counters, guarded
 
@@ -264,6 +266,40 @@ def cache_stream(spark, folder):
     return found.groupBy("filter_key").agg(F.count("response").alias("hits"), F.count(F.lit(1)).alias("lookups"))
 
 
+STORED = "select doc_id, source, sha256(text) as text_sha256 from documents"
+
+
+def _stored(spark, path):
+    rows = spark.read.format("corpus_store").option("path", path).load()
+    return rows.select("doc_id", "source", F.sha2("text", 256).alias("text_sha256"))
+
+
+@R.add("SRC-22_store_batches", STORED)
+def store_batches(spark, folder):
+    """A write whose tasks fail at some documents leaves nothing; the same batch written twice afterwards is there once."""
+    spark.dataSource.register(store.CorpusStore)
+    path, docs = f"{scratch_folder(spark)}/store", S.table(spark, folder, "documents")
+    broken = docs.withColumn("text", F.when(F.col("doc_id") % 1000 == 0, F.raise_error(F.lit("lost on purpose"))).otherwise(F.col("text")))
+    for rows in (broken, docs, docs):
+        try:
+            rows.write.format("corpus_store").option("path", path).option("batch", "documents").mode("append").save()
+        except PySparkException as problem:
+            if "lost on purpose" not in str(problem):
+                raise
+    return _stored(spark, path)
+
+
+@R.add("STR-01_store_stream", STORED)
+def store_stream(spark, folder):
+    """A stream into the store, and once more without its checkpoint: the micro-batches are known by their numbers."""
+    spark.dataSource.register(store.CorpusStore)
+    place = scratch_folder(spark)
+    for run in range(2):
+        sink = _stream(spark, folder, "documents").writeStream.format("corpus_store").option("path", f"{place}/store").option("batch", "inbox")
+        sink.option("checkpointLocation", f"{place}/ckpt{run}").trigger(availableNow=True).start().awaitTermination()
+    return _stored(spark, f"{place}/store")
+
+
 @R.add("STR-06_audit_stream", "select event_id, 'omitted;chars:' || user_id as query from events")
 def audit_stream(spark, folder):
     place = scratch_folder(spark)
