@@ -214,8 +214,9 @@ def event_columns(spark, folder):
 
 
 def _stream(spark, folder, name, schema=None):
+    """A table as a stream of its files, be it one file or a folder of them."""
     schema = schema or S.table(spark, folder, name).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(folder)
+    return spark.readStream.schema(schema).parquet(f"{folder}/{name}.parque[t]")
 
 
 def _drain(stream, mode):
