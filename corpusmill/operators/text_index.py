@@ -2,7 +2,7 @@
 
 Chunks are dealt into lanes of bounded size. A posting is one word in one lane, with the chunks and places that hold it, so a frequent
 word is many rows of bounded length. Building moves each text once, to its lane, where all its postings are made; no row is shuffled for a
-word and place, and postings travel to their buckets in packs. Postings are written by buckets of words: a search reads the buckets of its words, brings
+word and place, and postings travel to their buckets in packs. Letter grams are postings too, of the different runs instead of chunks. Postings are written by buckets of words: a search reads the buckets of its words, brings
 the postings of a lane together and gives out the best few chunks of each question and lane. What travels is the postings of the asked words, once for
 a block of questions, and lanes x questions x k results; no row holds a question and a chunk beside these.
 """
@@ -35,7 +35,6 @@ COVER_WEIGHT = 0.1
 PACK = 1 << 16
 #: Runs up to this length are their own key, longer ones their digest.
 KEY_LENGTH = 32
-PAIRS, TRIPLES = "(?=(..))", "(?=(...))"
 
 
 @dataclass(frozen=True)
@@ -43,7 +42,8 @@ class TextIndex:
     """Where the tables lie, the name and type of the chunk key, and the numbers of lanes and buckets.
 
     ``words``: term, lane, items, how many places each has, places one item after the other; ``held``: run key, lane, items, the run where it is
-    not its own key; ``runs``: run key, run; ``grams``: gram, run key. All by bucket of their first column.
+    not its own key; ``grams``: gram, lane of runs, ids of the runs. These by bucket of their first column. ``runs``: lane of runs, id, key, run;
+    an id is a hash of the key, and keys that share one are in one lane.
     """
 
     path: str
@@ -58,11 +58,6 @@ class TextIndex:
         """As ``bucket``, for words on the driver."""
         return sorted({zlib.crc32(w.encode()) % self.buckets for w in words})
 
-    def _write(self, df: DataFrame, first: str, name: str) -> None:
-        """By bucket of the first column; the ranges of the tasks cut through buckets and through the lanes of a frequent word."""
-        order = ["bucket", *df.columns[:2]]
-        self._write_placed(df.withColumn("bucket", self.bucket(F.col(first))).repartitionByRange(*order), order, name)
-
     def _write_placed(self, df: DataFrame, order: list[str], name: str) -> None:
         df.sortWithinPartitions(*order).write.partitionBy("bucket").parquet(f"{self.path}/{name}")
 
@@ -71,9 +66,9 @@ class TextIndex:
         columns = {
             "words": f"term string, lane bigint, items array<{item}>, counts array<int>, places array<int>",
             "held": f"key string, lane bigint, items array<{item}>, run string",
-            "runs": "key string, run string", "grams": "gram string, key string",
+            "runs": "lane bigint, id bigint, key string, run string", "grams": "gram string, lane bigint, ids array<bigint>",
         }
-        return spark.read.schema(f"{columns[name]}, bucket int").parquet(f"{self.path}/{name}")
+        return spark.read.schema(columns[name] + (", bucket int" if name != "runs" else "")).parquet(f"{self.path}/{name}")
 
     def postings(self, spark: SparkSession, words: list[str]) -> DataFrame:
         """Postings of some words: only their buckets are read."""
@@ -83,14 +78,14 @@ class TextIndex:
         """(word, key): every run that holds a word of two letters or more.
 
         A run must have all grams of the word, of three letters where the word is long enough; those that do are compared letter by letter.
+        The lists of a lane's grams are intersected in one task, which gives out no row for a gram and run.
         """
-        grams = F.when(F.length("word") < 3, F.array("word")).otherwise(F.array_distinct(F.regexp_extract_all("word", F.lit(TRIPLES), F.lit(1))))
-        asked = spark.createDataFrame([(w,) for w in words], "word string").select("word", grams.alias("grams"))
-        sought = asked.select("word", F.size("grams").alias("needed"), F.explode("grams").alias("gram"))
-        listed = sorted({w[i : i + 3] for w in words for i in range(max(1, len(w) - 2))})
+        grams = {w: sorted({w[i : i + 3] for i in range(max(1, len(w) - 2))}) for w in words}
+        listed = sorted({g for needed in grams.values() for g in needed})
         known = self.table(spark, "grams").where(F.col("bucket").isin(self._buckets_of(listed)) & F.col("gram").isin(listed))
-        likely = known.join(sought, "gram").groupBy("word", "key", "needed").agg(F.count(F.lit(1)).alias("n")).where("n = needed")
-        return likely.join(self.table(spark, "runs"), "key").where(F.contains("run", "word")).select("word", "key")
+        shared = spark.sparkContext.broadcast(grams)
+        likely = known.select("lane", "gram", "ids").groupBy("lane").applyInArrow(lambda t: _holding_all(t, shared.value), "word string, lane bigint, id bigint")
+        return likely.join(self.table(spark, "runs"), ["lane", "id"]).where(F.contains("run", "word")).select("word", "key")
 
 
 def _key(term: str) -> str:
@@ -119,10 +114,33 @@ def _lane_postings(table: pa.Table, bucket_of: Callable[[str], int]) -> pa.Table
     return known
 
 
+def _lane_grams(table: pa.Table, bucket_of: Callable[[str], int]) -> pa.Table:
+    """One row a gram of two or three letters of the (lane, id, run) rows of a lane, by bucket and gram: the ids of the runs that hold it."""
+    lane, runs = table.column(0)[0].as_py(), table.column(2).to_pylist()
+    ids, place = np.unique(np.asarray(table.column(1)), return_inverse=True)
+    codes = np.frombuffer("".join(runs).encode("utf-32-le"), np.uint32).astype(np.int64)
+    run = np.repeat(np.arange(len(runs), dtype=np.int32), [len(r) for r in runs])
+    grams, at = [], []
+    for n in (2, 3):  # 21 bits a letter; no run has the letter 0, so pairs and triples differ
+        parts = [codes[i : len(codes) - n + 1 + i] << 21 * (n - 1 - i) for i in range(n)]
+        within = run[: len(parts[0])] == run[n - 1 :]
+        grams.append(np.bitwise_or.reduce(parts)[within])
+        at.append(place[run[: len(parts[0])][within]])
+    known, gram = np.unique(np.concatenate(grams), return_inverse=True)
+    names = ["".join(chr(g >> 21 * i & 0x1FFFFF) for i in (2, 1, 0) if g >> 21 * i) for g in known.tolist()]
+    terms = pa.table({"bucket": pa.array([bucket_of(g) for g in names], pa.int32()), "term": pa.array(names, pa.string())})
+    by_bucket = np.asarray(pc.sort_indices(terms, [("bucket", "ascending"), ("term", "ascending")]))
+    pairs = np.unique(np.argsort(by_bucket)[gram] * len(ids) + np.concatenate(at))
+    gram, held = np.divmod(pairs, max(1, len(ids)))
+    lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(gram, np.arange(len(names) + 1)).astype(np.int32)), pa.array(ids[held]))
+    terms = terms.take(pa.array(by_bucket)).append_column("lane", pa.array(np.full(len(names), lane, np.int64)))
+    return terms.append_column("ids", lists)
+
+
 def _packed(postings: pa.Table) -> pa.Table:
-    """(bucket, term, lane, pack): postings of one bucket that stand together, under the first of their terms."""
+    """(bucket, term, lane, pack): postings of one bucket that stand together, under the first of their terms. The last column has the longest lists."""
     bucket = np.asarray(postings.column("bucket"))
-    weight = np.cumsum(np.asarray(pc.list_value_length(postings.column("places")), dtype=np.int64) + 16) // PACK
+    weight = np.cumsum(np.asarray(pc.list_value_length(postings.column(-1)), dtype=np.int64) + 16) // PACK
     starts = np.flatnonzero((np.diff(bucket, prepend=-1) != 0) | (np.diff(weight, prepend=-1) != 0))
     packs = []
     for a, b in zip(starts, [*starts[1:], len(bucket)]):
@@ -139,16 +157,22 @@ def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield from pa.ipc.open_stream(pack.as_buffer())
 
 
+def _by_bucket(rows: DataFrame, task: Callable[[pa.Table], pa.Table], columns: str) -> DataFrame:
+    """(bucket, term, lane, further columns) that ``task`` makes of the rows of a lane, ranges of buckets and terms in one partition."""
+    packs = rows.groupBy("lane").applyInArrow(lambda table: _packed(task(table)), "bucket int, term string, lane bigint, pack binary")
+    packs = packs.repartitionByRange("bucket", "term", "lane")
+    return packs.mapInArrow(_unpacked, f"bucket int, term string, lane bigint, {columns}")
+
+
 def _postings(rows: DataFrame, index: TextIndex, pattern: str, key: Callable[[str], str]) -> DataFrame:
-    """(bucket, term, lane, items, counts, places) of what ``pattern`` finds, ranges of buckets and terms in one partition.
+    """(bucket, term, lane, items, counts, places) of what ``pattern`` finds.
 
-    Texts move to their lanes before words are cut, packs of postings to their ranges.
+    Texts move to their lanes before words are cut, packs of postings to their buckets.
     """
     found, buckets, item = F.regexp_extract_all("content", F.lit(pattern), F.lit(0)).alias("terms"), index.buckets, index.item
-    words = rows.repartition("lane").select("lane", item.name, found).groupBy("lane")
-    task = lambda table: _packed(_lane_postings(table, lambda t: zlib.crc32(key(t).encode()) % buckets))
-    packs = words.applyInArrow(task, "bucket int, term string, lane bigint, pack binary").repartitionByRange("bucket", "term", "lane")
-    return packs.mapInArrow(_unpacked, f"bucket int, term string, lane bigint, items array<{item.dataType.simpleString()}>, counts array<int>, places array<int>")
+    words = rows.repartition("lane").select("lane", item.name, found)
+    task = lambda table: _lane_postings(table, lambda t: zlib.crc32(key(t).encode()) % buckets)
+    return _by_bucket(words, task, f"items array<{item.dataType.simpleString()}>, counts array<int>, places array<int>")
 
 
 def build(chunks: DataFrame, item: str, content: str, path: str, lane_bytes: int = LANE_BYTES, parts: bool = True) -> TextIndex:
@@ -172,9 +196,13 @@ def build(chunks: DataFrame, item: str, content: str, path: str, lane_bytes: int
     held = _postings(rows, index, scan.KeywordScorer.RUN, _key).select("bucket", keys, "lane", "items", F.when(~short, F.col("term")).alias("run"))
     index._write_placed(held, ["bucket", "key", "lane"], "held")
     written = index.table(rows.sparkSession, "held").groupBy("key").agg(F.min("run").alias("run"))
-    index._write(written.select("key", F.coalesce("run", "key").alias("run")), "key", "runs")
-    grams = F.array_distinct(F.concat(*[F.regexp_extract_all("run", F.lit(p), F.lit(1)) for p in (PAIRS, TRIPLES)]))
-    index._write(index.table(rows.sparkSession, "runs").select(F.explode(grams).alias("gram"), "key"), "gram", "grams")
+    number = F.xxhash64("key")
+    runs = written.select(F.pmod(number, F.lit(FEW_BUCKETS * lanes)).alias("lane"), number.alias("id"), "key", F.coalesce("run", "key").alias("run"))
+    runs.write.parquet(f"{path}/runs")
+    buckets = index.buckets
+    task = lambda table: _lane_grams(table, lambda g: zlib.crc32(g.encode()) % buckets)
+    grams = _by_bucket(index.table(rows.sparkSession, "runs").select("lane", "id", "run"), task, "ids array<bigint>")
+    index._write_placed(grams.withColumnRenamed("term", "gram"), ["bucket", "gram", "lane"], "grams")
     return index
 
 
@@ -214,6 +242,19 @@ def _best(items: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np
     return items[keep], scores[keep]
 
 
+def _holding_all(table: pa.Table, grams: dict[str, list[str]]) -> pa.Table:
+    """(word, lane, id) of the runs of the lane that have all grams of a word, from its (lane, gram, ids) rows."""
+    ids, row = _lists(table.column("ids")), {g: i for i, g in enumerate(table.column("gram").to_pylist())}
+    found: dict[str, np.ndarray] = {}
+    for word, needed in grams.items():
+        if all(g in row for g in needed):
+            found[word] = reduce(lambda a, b: np.intersect1d(a, b, assume_unique=True), sorted((ids[row[g]] for g in needed), key=len))
+    word = np.repeat(np.arange(len(found)), [len(x) for x in found.values()])
+    ids = np.concatenate([np.empty(0, np.int64), *found.values()])
+    words = pa.array(list(found), pa.string()).take(pa.array(word.astype(np.int64)))
+    return pa.table({"word": words, "lane": np.full(len(ids), table.column("lane")[0].as_py(), np.int64), "id": ids})
+
+
 def _by_cover(table: pa.Table, terms: list[list[str]]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """For each question whose words are all in the lane: the chunks holding all of them and their rank."""
     items, times, places = (_lists(table.column(c)) for c in ("items", "counts", "places"))
@@ -232,8 +273,9 @@ def _by_cover(table: pa.Table, terms: list[list[str]]) -> Iterator[tuple[int, np
 def _by_count(table: pa.Table, terms: list[list[str]]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """For each question the chunks of the lane with a word of it inside a run, and how many words they hold."""
     holding: dict[str, list[np.ndarray]] = {}
-    for word, items in zip(table.column("word").to_pylist(), _lists(table.column("items"))):
-        holding.setdefault(word, []).append(items)
+    for words, items in zip(table.column("words").to_pylist(), _lists(table.column("items"))):
+        for word in words:
+            holding.setdefault(word, []).append(items)
     chunks = {word: np.unique(np.concatenate(lists)) for word, lists in holding.items()}
     for q, asked in enumerate(terms):
         if found := [chunks[t] for t in asked if t in chunks]:
@@ -282,7 +324,8 @@ def part_search(index: TextIndex, queries: DataFrame, query_id: str, terms: str,
     """
 
     def read(spark: SparkSession, words: list[str]) -> DataFrame:
-        return index.table(spark, "held").drop("run").join(index.runs_holding(spark, words), "key").select("lane", "word", "items")
+        runs = index.runs_holding(spark, words).groupBy("key").agg(F.collect_list("word").alias("words"))  # a run's chunks move once for all its words
+        return index.table(spark, "held").drop("run").join(runs, "key").select("lane", "words", "items")
 
     return _search(index, queries, query_id, terms, k, max_queries, read, _by_count)
 

@@ -6,6 +6,7 @@ import itertools
 import random
 import re
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -104,3 +105,20 @@ def test_empty_tables_and_names_as_keys(spark):
         assert search(empty, asked.limit(0), "q", "t").count() == 0
     named = _index(spark, [("b", "red"), ("a", "red")], key="id string")
     assert [r.id for r in text_index.cover_search(named, asked, "q", "t").orderBy("rank").collect()] == ["a", "b"]
+
+
+def test_letter_grams_move_in_lists(spark):
+    """No row for a gram and run, neither where they are written nor where a search intersects them."""
+    index = _index(spark, [*_texts(), *((400 + i, f"bluebird{i}") for i in range(50))], 1 << 20)
+    grams, runs = index.table(spark, "grams"), index.table(spark, "runs")
+    pairs = sorted((g, r.id) for r in runs.collect() for g in {r.run[i : i + n] for n in (2, 3) for i in range(len(r.run) - n + 1)})
+    assert sorted((r.gram, i) for r in grams.collect() for i in r.ids) == pairs
+    assert grams.count() == grams.select("gram", "lane").distinct().count() < len(pairs)
+    plan = index.runs_holding(spark, ["blue"])._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "HashAggregate" not in plan
+
+
+def test_keys_that_share_an_id_are_told_apart():
+    table = pa.table({"lane": [5, 5, 5], "id": [9, 9, 2], "run": ["abc", "xabc", "bc"]})
+    made = text_index._lane_grams(table, lambda g: 0)
+    assert {r["term"]: r["ids"] for r in made.to_pylist()} == {"ab": [9], "abc": [9], "bc": [2, 9], "xa": [9], "xab": [9]}
