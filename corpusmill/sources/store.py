@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import datetime
 import json
+import math
 import posixpath
 import re
 import uuid
@@ -32,6 +33,8 @@ from pyspark.sql.types import StructType
 
 #: Arrow bytes after which a task begins another file, and bytes of files that one task reads.
 FILE_BYTES, TASK_BYTES = 128 << 20, 64 << 20
+#: Arrow bytes of a row group, which is what a writer or a reader holds of a file, and bytes that a reader fetches at once.
+GROUP_BYTES, FETCH_BYTES = 8 << 20, 1 << 20
 
 
 @dataclass
@@ -99,7 +102,9 @@ class Folder:
     def batches(self, name: str, columns: list[str]) -> Iterator[pa.RecordBatch]:
         files, place = self._at("data", name)
         with files.open_input_file(place) as source:
-            yield from pq.ParquetFile(source).iter_batches(batch_size=4096, columns=columns)
+            parquet = pq.ParquetFile(source, buffer_size=FETCH_BYTES)
+            for group in range(parquet.num_row_groups):
+                yield from parquet.iter_batches(batch_size=4096, row_groups=[group], columns=columns, use_threads=False)
 
     def delete(self, names: Iterable[str]) -> None:
         for name in names:
@@ -134,6 +139,12 @@ class Reader(DataSourceReader):
                 yield batch.select(self.columns)
 
 
+def _parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Slices of equal numbers of rows, of half a row group at least where there are several."""
+    step = max(1, math.ceil(batch.num_rows / max(1, math.ceil(batch.nbytes / GROUP_BYTES))))
+    return (batch.slice(start, step) for start in range(0, batch.num_rows, step))
+
+
 class _Staging:
     """What batch and stream writers share: files of a task, and their way into a manifest."""
 
@@ -142,23 +153,35 @@ class _Staging:
         self.prefix = uuid.uuid4().hex
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Staged:
-        staged, out, name, rows, size = Staged(), None, "", 0, 0
+        staged, out, name, rows, size, group = Staged(), None, "", 0, 0, []
+
+        def flush() -> None:
+            if group:
+                out.write_table(pa.Table.from_batches(group))
+                group.clear()
 
         def close() -> None:
+            flush()
             out.close()
             staged.files.append((name, rows, self.folder.size(name)))
 
-        for batch in iterator:
-            if batch.num_rows == 0:
-                continue
+        def add(batch: pa.RecordBatch) -> None:
+            nonlocal out, name, rows, size
             if out is not None and size >= FILE_BYTES:
                 close()
                 out = None
             if out is None:
                 name, rows, size = f"{self.prefix}/{uuid.uuid4().hex}.parquet", 0, 0
                 out = self.folder.writer(name, batch.schema)
-            out.write_batch(batch)
+            group.append(batch)
             rows, size = rows + batch.num_rows, size + batch.nbytes
+            if sum(b.nbytes for b in group) >= GROUP_BYTES // 2:
+                flush()
+
+        for batch in iterator:
+            for part in _parts(batch):
+                add(part)
+            batch = part = None  # else they stay while the next batch is read
         if out is not None:
             close()
         return staged

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import datetime
+import weakref
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -121,3 +124,29 @@ def test_sweep_deletes_what_no_manifest_names(spark, path):
     assert store.sweep(path) == 0
     assert store.sweep(path, datetime.timedelta(0)) == len(left.files) == 1
     assert _read(spark, path).count() == 40
+
+
+def test_row_groups_are_bounded_and_batches_are_let_go(spark, path, monkeypatch):
+    monkeypatch.setattr(store, "GROUP_BYTES", 2000)
+
+    def incoming():
+        for i in range(3):
+            batch = pa.record_batch({"id": range(i * 100, i * 100 + 100), "text": ["x" * 92] * 100})
+            last = weakref.ref(batch)
+            yield batch
+            del batch
+            assert last() is None
+
+    writer = store.Writer(store.Folder(path), spark.range(0).selectExpr("id", "'' as text").schema, "one")
+    writer.commit([writer.write(incoming())])
+    (file,) = _files(path)
+    found = pq.ParquetFile(file.path)
+    assert [found.metadata.row_group(i).num_rows <= 20 for i in range(found.num_row_groups)] == [True] * 18
+    assert [r.id for r in _read(spark, path).orderBy("id").collect()] == list(range(300))
+
+
+def test_small_batches_share_a_row_group(spark, path):
+    writer = store.Writer(store.Folder(path), _rows(spark).schema, "one")
+    writer.write(iter(_rows(spark).toArrow().to_batches(max_chunksize=5)))
+    (file,) = _files(path)
+    assert pq.ParquetFile(file.path).num_row_groups == 1
