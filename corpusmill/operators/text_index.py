@@ -33,6 +33,8 @@ LANE_BYTES, FEW_BUCKETS, MANY_BUCKETS = 16 << 20, 4, 1024
 COVER_WEIGHT = 0.1
 #: Occurrences, and sixteen for each term, in one pack.
 PACK = 1 << 16
+#: Lanes whose packs of a bucket go to one task.
+LANES_TOGETHER = 64
 #: Runs up to this length are their own key, longer ones their digest.
 KEY_LENGTH = 32
 
@@ -102,7 +104,8 @@ def _lane_postings(table: pa.Table, bucket_of: Callable[[str], int]) -> pa.Table
     term = np.argsort(by_bucket)[np.asarray(listed.indices)]
     item = np.repeat(np.asarray(keys.indices), lengths)
     place = (np.arange(len(item)) - np.repeat(np.cumsum(lengths) - lengths, lengths)).astype(np.int32)
-    order = np.lexsort((place, item, term))
+    unique = len(keys.dictionary) == len(items)  # then items and places ascend as they stand
+    order = np.argsort(term, kind="stable") if unique else np.lexsort((place, item, term))
     term, item = term[order], item[order]
     first = np.flatnonzero((np.diff(term, prepend=-1) != 0) | (np.diff(item, prepend=-1) != 0))
     edges = lambda sorted_terms: pa.array(np.searchsorted(sorted_terms, np.arange(known.num_rows + 1)).astype(np.int32))
@@ -158,9 +161,12 @@ def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _by_bucket(rows: DataFrame, task: Callable[[pa.Table], pa.Table], columns: str) -> DataFrame:
-    """(bucket, term, lane, further columns) that ``task`` makes of the rows of a lane, ranges of buckets and terms in one partition."""
+    """(bucket, term, lane, further columns) that ``task`` makes of the rows of a lane, a bucket's postings of some lanes in one partition.
+
+    Packs go by the hash of bucket and lanes: no sample is taken, for which all postings would be made twice, and a frequent word's are spread.
+    """
     packs = rows.groupBy("lane").applyInArrow(lambda table: _packed(task(table)), "bucket int, term string, lane bigint, pack binary")
-    packs = packs.repartitionByRange("bucket", "term", "lane")
+    packs = packs.repartition("bucket", F.floor(F.col("lane") / LANES_TOGETHER))
     return packs.mapInArrow(_unpacked, f"bucket int, term string, lane bigint, {columns}")
 
 

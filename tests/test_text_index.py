@@ -122,3 +122,18 @@ def test_keys_that_share_an_id_are_told_apart():
     table = pa.table({"lane": [5, 5, 5], "id": [9, 9, 2], "run": ["abc", "xabc", "bc"]})
     made = text_index._lane_grams(table, lambda g: 0)
     assert {r["term"]: r["ids"] for r in made.to_pylist()} == {"ab": [9], "abc": [9], "bc": [2, 9], "xa": [9], "xab": [9]}
+
+
+def test_postings_are_made_once(spark, monkeypatch):
+    """Dealing packs to tasks takes no sample, for which every lane would be made a second time."""
+    made = spark.sparkContext.accumulator(0)
+    lane_postings = text_index._lane_postings
+
+    def counted(table, bucket_of):
+        made.add(1)
+        return lane_postings(table, bucket_of)
+
+    monkeypatch.setattr(text_index, "_lane_postings", counted)
+    rows = spark.createDataFrame([(i, f"red {i}") for i in range(40)], "id long, text string")
+    index = text_index.build(rows, "id", "text", f"{scratch_folder(spark)}/text", 50, parts=False)
+    assert index.lanes > 4 and made.value == index.table(spark, "words").select("lane").distinct().count()
