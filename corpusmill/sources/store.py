@@ -92,9 +92,24 @@ class Folder:
 
     def writer(self, name: str, schema: pa.Schema) -> pq.ParquetWriter:
         files, place = self._at("data", name)
-        files.create_dir(posixpath.dirname(place), recursive=True)
         return pq.ParquetWriter(place, schema, filesystem=files, compression="zstd")
 
+    def begin(self, prefix: str) -> None:
+        files, place = self._at("data", prefix)
+        files.create_dir(place, recursive=True)
+
+    def discard(self, prefix: str) -> None:
+        """Without its folder, tasks that still run can add no file there (in stores that make folders by themselves, ``sweep`` deletes these)."""
+        files, place = self._at("data", prefix)
+        for attempt in range(5):
+            if files.get_file_info(place).type != fs.FileType.Directory:
+                return
+            try:
+                return files.delete_dir(place)
+            except OSError:  # a task began a file meanwhile
+                if attempt == 4:
+                    raise
+
     def size(self, name: str) -> int:
         files, place = self._at("data", name)
         return files.get_file_info(place).size
@@ -151,6 +166,7 @@ class _Staging:
     def __init__(self, folder: Folder, schema: StructType, batch: str) -> None:
         self.folder, self.schema, self.batch = folder, schema, batch
         self.prefix = uuid.uuid4().hex
+        folder.begin(self.prefix)
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Staged:
         staged, out, name, rows, size, group = Staged(), None, "", 0, 0, []
@@ -206,7 +222,7 @@ class Writer(_Staging, DataSourceArrowWriter):
         self.folder.delete(self._left({name for m in messages if m is not None for name, _, _ in m.files}))
 
     def abort(self, messages: list[Staged | None]) -> None:
-        self.folder.delete(self._left(set()))
+        self.folder.discard(self.prefix)
 
 
 class StreamWriter(_Staging, DataSourceStreamArrowWriter):

@@ -150,3 +150,18 @@ def test_small_batches_share_a_row_group(spark, path):
     writer.write(iter(_rows(spark).toArrow().to_batches(max_chunksize=5)))
     (file,) = _files(path)
     assert pq.ParquetFile(file.path).num_row_groups == 1
+
+
+def test_a_task_that_outlives_its_batch_leaves_no_files(spark, path):
+    writer = store.Writer(store.Folder(path), _rows(spark).schema, "one")
+    batches = _rows(spark).toArrow().to_batches(max_chunksize=10)
+
+    def late():
+        yield batches[0]
+        writer.abort([])
+        yield from batches[1:]
+
+    writer.write(late())
+    with pytest.raises(OSError):
+        writer.write(iter(batches))
+    assert not _files(path)
