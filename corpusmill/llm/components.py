@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from corpusmill.session import cut_lineage
 
-#: Tasks of a round at least, where their number follows the edges.
-LEAST_TASKS = 12
+#: Tasks of a round at least, where their number follows the edges. A task keeps a hash table for every partition that it takes together.
+LEAST_TASKS = 36
 
 
 def _tally(edges: DataFrame) -> tuple:
